@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorewell.plans import general
+from lorewell.plans import activity, general, transcripts
 
-MODULES = [general]
+MODULES = [activity, transcripts, general]
 
 
 def queries() -> dict:
