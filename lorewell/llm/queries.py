@@ -114,7 +114,7 @@ SQL = {
         SELECT d.session_id, d.delta_number FROM d JOIN m ON m.session_id = d.session_id AND m.line_no >= d.line_start AND m.line_no < d.line_end
         GROUP BY d.session_id, d.delta_number HAVING sum(length(m.content)) > 3000""",
     "p4_found": """
-        WITH w AS (SELECT id, list_distinct(list_filter(string_split_regex(lower(concat_ws(' ', title, problem, recommendation)), '[^a-z0-9]+'), x -> x <> '')) AS ws FROM experiences),
+        WITH w AS (SELECT id, list_distinct(list_filter(string_split_regex(lower(concat_ws(' ', title, problem, recommendation)), '[^a-z0-9]+'), lambda x: x <> '')) AS ws FROM experiences),
         t AS (SELECT id, len(ws) AS n, unnest(ws) AS word FROM w),
         c AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS k FROM t a JOIN t b ON a.word = b.word AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n)
         SELECT id_a, id_b FROM c WHERE k >= 0.6 * (na + nb - k) - 1e-9""",
