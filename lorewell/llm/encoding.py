@@ -28,7 +28,7 @@ LATIN = "¡¢£¤¥¦§¨©ª«¬®¯°±²³´µ¶·¸¹º»¼½¾¿ÀÁÂÃÄ
 EXTENDED = "ĄąĆćĘęŁłŃńŚśŹźŻżČčĎďĚěŇňŘřŠšŤťŮůŽžĂăȘșȚțŐőŰűĞğİıŞşŒœŸ"
 CYRILLIC = "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯабвгдежзийклмнопрстуфхцчшщъыьэюяЁёЄєІіЇїҐґ"
 PUNCTUATION = "–—‘’‚“”„†‡•…‰‹›€™←→√≈≠≤≥∞─│┌┐└┘├┤┬┴┼═║╔╗╚╝ ­​﻿"
-UTF8_READ_AS = ["cp1252", "latin-1", "cp437", "cp850", "cp852", "cp866", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "iso8859-2", "iso8859-15", "koi8-r", "mac-roman"]
+UTF8_READ_AS = ["cp1252", "latin-1", "cp437", "cp850", "cp1250", "cp852", "cp866", "cp1251", "cp1253", "cp1254", "cp1257", "iso8859-2", "iso8859-15", "koi8-r", "mac-roman"]
 SINGLE_BYTE = {
     "cyrillic": (["cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic"], ["cp1252", "latin-1", "cp437", "cp850", "mac-roman", "cp1250", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic"]),
     "central": (["cp1250", "iso8859-2", "cp852"], ["cp1252", "latin-1", "cp437", "cp850", "mac-roman", "cp1251", "iso8859-2", "cp1250"]),
@@ -41,7 +41,8 @@ FREQUENT = {
     "western": "où été être même très après déjà à là ça français où voilà élève père mère für über können müssen möchte schön groß straße natürlich während später también más está están qué él día año señor aquí así después según niño español não são também você está até é então coração você però così perché più già città år på är för också då får så också här även först älskar",
 }
 SYMBOLS = "¡¢£¤¥¦§¨©ª«¬®¯°±²³´¶¸¹º»¼½¾¿×÷‚ƒ„…†‡ˆ‰‹Œ•˜™›Ÿ─│┌┐└┘├┤┬┴┼═║╒╓╔╕╖╗╘╙╚╛╜╝╞╟╠╡╢╣╤╥╦╧╨╩╪╫╬▀▄█▌▐░▒▓■⌐⌠⌡₧"
-_TOKEN = re.compile(r"[^\s!\"#$%&()*+,/:;<=>?@\[\\\]^_`{|}~-]+")
+# Blanks that are not ASCII may be garbled letters, so they do not end a token.
+_TOKEN = re.compile(r"[^ \t\n\r\f\v!\"#$%&()*+,/:;<=>?@\[\\\]^_`{|}~-]+")
 _SYMBOL_INSIDE = re.compile(r"(?<=[^\W\d_])[" + re.escape(SYMBOLS) + r"\x80-\x9f]+(?=[^\W\d_])")
 _LATIN_RUN = re.compile(r"^[À-ÿ¸¨]{3,}\.?$")
 _MIXED = re.compile(r"[A-Za-z][Ѐ-ӿΑ-Ωα-ω]+[A-Za-z]|[Ѐ-ӿ][╤╥╦╨╩║═]+|[╤╥╦╨╩║═]+[Ѐ-ӿ]|[a-z]{2,}[ΓΘΣΦΩδφεατπσμ∩ⁿ]+[a-z]")
@@ -80,15 +81,14 @@ def _write(text: str, encoding: str) -> bytes | None:
 def garbled_sequences() -> dict[str, str]:
     """Garbled sequence -> original character, for UTF-8 read in a single-byte encoding, up to three times over."""
     out: dict[str, str] = {}
-    for group in (LATIN, EXTENDED, CYRILLIC, PUNCTUATION):
-        for c in group:
-            for encoding in UTF8_READ_AS:
-                text = c
-                for _ in range(3 if encoding in ("cp1252", "latin-1") else 1):
-                    text = _read(text.encode("utf-8"), encoding)
-                    if text is None or len(text) < 2 or text.isascii():
-                        break
-                    out.setdefault(text, c)
+    for encoding in UTF8_READ_AS:  # where two encodings give one sequence, the first of the list counts
+        for c in LATIN + EXTENDED + CYRILLIC + PUNCTUATION:
+            text = c
+            for _ in range(3 if encoding in ("cp1252", "latin-1") else 1):
+                text = _read(text.encode("utf-8"), encoding)
+                if text is None or len(text) < 2 or text.isascii():
+                    break
+                out.setdefault(text, c)
     # A Cyrillic letter as UTF-8 read in cp1251 or cp866 is two Cyrillic characters, which real text may hold; two letters in a row must agree.
     single = {t: c for t, c in out.items() if not (c in CYRILLIC and re.fullmatch(r"[А-Яа-яЁё][Ѐ-ӿ‚„…†‡‰‹›‘’“”•–—™ ¤¦§©«¬­®°±µ¶·»№]", t))}
     return single

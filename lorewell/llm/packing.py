@@ -27,6 +27,8 @@ CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Tokens of one shard.
 SHARD_TOKENS = 4_000_000
+#: A window that is filled to this share is closed for good.
+FULL = 0.99
 # The published pattern that splits text before the merges of this vocabulary (a fixed value).
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -116,8 +118,12 @@ def _pack_shard(capacity: int, last: bool):
         place = [0] * len(pdf)
         used = pdf["n_tokens"].tolist()
         open_rows = set()
+        # At most an eighth of the windows, the emptiest, is handed on, so every round leaves less.
+        fills = [sum(used[r] for r in rows) for rows in containers]
+        emptiest = sorted((f, c) for c, f in enumerate(fills) if f < capacity * FULL)[: 0 if last else max(1, len(containers) // 8)]
+        handed = {c for _, c in emptiest}
         for c, rows in enumerate(containers):
-            if not last and sum(used[r] for r in rows) < capacity * 0.99:
+            if c in handed:
                 open_rows.update(rows)
                 continue
             for p, r in enumerate(rows):
@@ -158,17 +164,17 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENI
     rest = rows.where(F.col("n_tokens") < capacity).withColumn("owed", F.lit(0.0))
     total = counted.agg(F.sum("n_tokens")).first()[0] or 0
     done = [full.select("container_id", "place", "doc_id", "piece", "source", "token_start", "n_tokens")]
-    level = 1
+    level, before = 1, None
     while True:
-        shards = max(1, -(-total // shard_tokens))
-        last = shards == 1
+        shards = max(1, -(-total // max(shard_tokens, 16 * capacity)))
+        last = shards == 1 or before is not None and total > before / 2
         shard = F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(shards)).cast("int")
         packed = cut(rest.select(F.lit(level).alias("level"), shard.alias("shard"), "*").groupBy("level", "shard").applyInPandas(_pack_shard(capacity, last), _PACKED), "packing-level")
         done.append(packed.where("container_id <> ''").select(*done[0].columns))
         if last:
             break
         rest = packed.where("container_id = ''").select("doc_id", "source", "piece", "token_start", "n_tokens", "owed")
-        total = rest.agg(F.sum("n_tokens")).first()[0] or 0
+        before, total = total, rest.agg(F.sum("n_tokens")).first()[0] or 0
         level += 1
     out = done[0]
     for more in done[1:]:
