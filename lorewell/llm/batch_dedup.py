@@ -43,13 +43,14 @@ class History:
     def _blocks(self, sets: DataFrame) -> DataFrame:
         return cut(W.keyed(W.ordered(sets, self.frequencies, ["id"]), ["id"], self.threshold), "history-blocks")
 
-    def _matches(self, new_blocks: DataFrame, new_sets: DataFrame, old_blocks: DataFrame, old_sets: DataFrame) -> DataFrame:
-        """(new_id, old_id, similarity) of all pairs that repeat each other."""
+    def _matches(self, new_blocks: DataFrame, new_sets: DataFrame, old_blocks: DataFrame, old_sets: DataFrame, once: bool = False) -> DataFrame:
+        """(new_id, old_id, similarity) of all pairs that repeat each other; ``once``: of a table with itself, each pair in one direction."""
         t = self.threshold
         n, o = new_blocks.alias("n"), old_blocks.alias("o")
         short = F.when(F.col("n.n") <= F.col("o.n"), F.col("n.near")).otherwise(F.col("o.near")) | (F.col("n.n") == F.col("o.n")) & F.col("o.near")
-        met = n.join(o, (F.col("n.key") == F.col("o.key")) & short & W.may_be_similar("n", "o", t))
-        met = met.select(F.col("n.id").alias("new_id"), F.col("o.id").alias("old_id")).where("new_id <> old_id").distinct()
+        way = (F.col("n.n") > F.col("o.n")) | ((F.col("n.n") == F.col("o.n")) & (F.col("n.id") > F.col("o.id"))) if once else F.col("n.id") != F.col("o.id")
+        met = n.join(o, (F.col("n.key") == F.col("o.key")) & way & short & W.may_be_similar("n", "o", t))
+        met = met.select(F.col("n.id").alias("new_id"), F.col("o.id").alias("old_id")).distinct()
         a = new_sets.select(F.col("id").alias("new_id"), F.col("words").alias("wn"))
         b = old_sets.select(F.col("id").alias("old_id"), F.col("words").alias("wo"))
         out = met.join(a, "new_id").join(b, "old_id").withColumn("similarity", W.jaccard(F.col("wn"), F.col("wo")))
@@ -67,10 +68,11 @@ class History:
         sets = turns.select("id", F.array_sort("words").alias("words")).where("size(words) > 0")
         blocks = self._blocks(sets)
         old = cut(self._matches(blocks, sets, self.blocks, self.sets), "batch-old")
-        inner = self._matches(blocks, sets, blocks, sets)
+        inner = self._matches(blocks, sets, blocks, sets, once=True)
         at = turns.select("id", F.struct("turn", "id").alias("at"))
         inner = inner.join(at.select(F.col("id").alias("new_id"), F.col("at").alias("new_at")), "new_id").join(at.select(F.col("id").alias("old_id"), F.col("at").alias("old_at")), "old_id")
-        inner = cut(inner.where("old_at < new_at").select("new_id", "old_id", "similarity"), "batch-inner")
+        later = lambda a, b: F.when(F.col("old_at") < F.col("new_at"), F.col(a)).otherwise(F.col(b))
+        inner = cut(inner.select(later("new_id", "old_id").alias("new_id"), later("old_id", "new_id").alias("old_id"), "similarity"), "batch-inner")
 
         # A record is out once it repeats an accepted one; it is in once everything before it that it resembles is out.
         # One round settles a level of the chains of resemblance; each round's table is written, and a round with nothing left ends it.
