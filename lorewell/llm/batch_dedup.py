@@ -24,21 +24,21 @@ MAX_ROUNDS = 10_000
 
 
 class History:
-    """Everything accepted so far: ``sets`` (id, words) and ``blocks`` (key, near, id, n, fingerprint).
+    """Everything accepted so far: ``sets`` (id, words), ``members`` (class_id, id) and ``blocks`` (id, n, fingerprint, key, near).
 
-    Records without a word repeat nothing. Nulls in texts or triggers count as empty; null ids are dropped;
-    repeated ids count once.
+    Accepted records with the same words form a class, named by its smallest id, and have one set of blocks, so
+    a group of copies costs as much as one record. Records without a word repeat nothing. Nulls in texts or
+    triggers count as empty; null ids are dropped; repeated ids count once.
     """
 
     def __init__(self, accepted: DataFrame, threshold: float = THRESHOLD):
         self.threshold = threshold
-        first = cut(self._sets(accepted), "history-sets")
-        self.frequencies = cut(W.document_frequencies(first), "history-frequencies")
-        self.sets, self.blocks = first, self._blocks(first)
-
-    @staticmethod
-    def _sets(records: DataFrame) -> DataFrame:
-        return records.select("id", F.array_sort("words").alias("words")).where("id is not null and size(words) > 0").dropDuplicates(["id"])
+        rows = accepted.select("id", F.array_sort("words").alias("words")).where("id is not null and size(words) > 0").dropDuplicates(["id"])
+        first = cut(rows, "history-rows")
+        self.sets = cut(first.groupBy("words").agg(F.min("id").alias("id")).select("id", "words"), "history-sets")
+        self.members = cut(first.join(self.sets.select(F.col("id").alias("class_id"), "words"), "words").select("class_id", "id"), "history-members")
+        self.frequencies = cut(W.document_frequencies(self.sets), "history-frequencies")
+        self.blocks = self._blocks(self.sets)
 
     def _blocks(self, sets: DataFrame) -> DataFrame:
         return cut(W.keyed(W.ordered(sets, self.frequencies, ["id"]), ["id"], self.threshold), "history-blocks")
@@ -63,16 +63,21 @@ class History:
         every accepted record it repeats. Within a batch records are taken by ``turn``, then id: a record is
         accepted if it repeats nothing accepted before it. Several batches may come as one, with the batch
         number leading in ``turn``; the result is the same.
+
+        Of records of the batch with the same words only the first can be accepted, so it stands for them.
         """
-        turns = cut(batch.where("id is not null").groupBy("id").agg(F.min_by("words", "turn").alias("words"), F.min("turn").alias("turn")), "batch")
-        sets = turns.select("id", F.array_sort("words").alias("words")).where("size(words) > 0")
-        blocks = self._blocks(sets)
+        one = batch.where("id is not null").groupBy("id").agg(F.min_by("words", "turn").alias("words"), F.min("turn").alias("turn"))
+        rows = cut(one.select("id", F.array_sort("words").alias("words"), F.struct("turn", "id").alias("at")).where("size(words) > 0"), "batch")
+        lead = rows.groupBy("words").agg(F.min("at").alias("lead_at"))
+        sets = cut(lead.select(F.col("lead_at.id").alias("id"), "words", "lead_at"), "batch-sets")
+        mine = cut(rows.join(sets.select(F.col("id").alias("lead"), "words"), "words").select("id", "lead", "at"), "batch-members")
+        blocks = self._blocks(sets.select("id", "words"))
         old = cut(self._matches(blocks, sets, self.blocks, self.sets), "batch-old")
-        inner = self._matches(blocks, sets, blocks, sets, once=True)
-        at = turns.select("id", F.struct("turn", "id").alias("at"))
-        inner = inner.join(at.select(F.col("id").alias("new_id"), F.col("at").alias("new_at")), "new_id").join(at.select(F.col("id").alias("old_id"), F.col("at").alias("old_at")), "old_id")
+        links = cut(self._matches(blocks, sets, blocks, sets, once=True), "batch-inner")
+        at = sets.select("id", "lead_at")
+        placed = links.join(at.select(F.col("id").alias("new_id"), F.col("lead_at").alias("new_at")), "new_id").join(at.select(F.col("id").alias("old_id"), F.col("lead_at").alias("old_at")), "old_id")
         later = lambda a, b: F.when(F.col("old_at") < F.col("new_at"), F.col(a)).otherwise(F.col(b))
-        inner = cut(inner.select(later("new_id", "old_id").alias("new_id"), later("old_id", "new_id").alias("old_id"), "similarity"), "batch-inner")
+        inner = placed.select(later("new_id", "old_id").alias("new_id"), later("old_id", "new_id").alias("old_id"))
 
         # A record is out once it repeats an accepted one; it is in once everything before it that it resembles is out.
         # One round settles a level of the chains of resemblance; each round's table is written, and a round with nothing left ends it.
@@ -89,9 +94,14 @@ class History:
         else:
             raise RuntimeError(f"chains of more than {MAX_ROUNDS} records")
 
-        repeats = old.unionByName(inner.join(out.select(F.col("id").alias("old_id")), "old_id", "left_anti"))
-        keep = sets.join(out, "id", "left_anti")
-        self.sets = self.sets.unionByName(cut(keep, "history-sets"))
+        accepted = cut(sets.join(out, "id", "left_anti"), "batch-accepted")
+        before = old.withColumnRenamed("new_id", "lead").join(self.members.withColumnRenamed("id", "member"), F.col("old_id") == F.col("class_id")).select("lead", F.col("member").alias("old_id"), "similarity")
+        repeats = mine.join(before, "lead").select(F.col("id").alias("new_id"), "old_id", "similarity")
+        both = links.unionByName(links.select(F.col("old_id").alias("new_id"), F.col("new_id").alias("old_id"), "similarity")).unionByName(accepted.select(F.col("id").alias("new_id"), F.col("id").alias("old_id"), F.lit(1.0).alias("similarity")))
+        near = both.join(accepted.select(F.col("id").alias("old_id"), F.col("lead_at").alias("old_at")), "old_id").withColumnRenamed("new_id", "lead")
+        repeats = repeats.unionByName(mine.join(near, "lead").where("old_at < at").select(F.col("id").alias("new_id"), "old_id", "similarity"))
+        self.sets = self.sets.unionByName(accepted.select("id", "words"))
+        self.members = self.members.unionByName(accepted.select(F.col("id").alias("class_id"), "id"))
         self.blocks = self.blocks.unionByName(cut(blocks.join(out, "id", "left_anti"), "history-blocks"))
         return repeats
 
