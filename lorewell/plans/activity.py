@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
-from lorewell.operators import clusters, incremental, patterns, records, rendering, retrieval, transcripts, upserts
+from lorewell.operators import clusters, extraction, incremental, patterns, records, rendering, retrieval, transcripts, upserts
 from lorewell.sources.tables import table
 
 QUERIES: dict = {}
@@ -365,3 +365,46 @@ def experience_nth(spark, d):
     """TOP-08: the seventh of the active experiences by last change; sorted with a limit, not numbered in one task."""
     top = records.latest(table(spark, d, "experiences").where("status = 'active'").select("id", "confidence", "updated_at"), "updated_at", 7)
     return top.orderBy(F.col("updated_at").asc_nulls_first(), F.desc("id")).limit(1).select("id", "confidence", F.lit(7).cast("long").alias("n"))
+
+
+@query("SELECT candidate_id AS id, CAST(0 AS INTEGER) AS place, title, problem, recommendation, array_to_string(coalesce(triggers, []), '|') AS triggers, array_to_string(coalesce(apply_when, []), '|') AS apply_when, coalesce(confidence, 0.5) AS confidence FROM candidates")
+def candidates_read(spark, d):
+    """PRJ-17, PRJ-18, PRJ-19, UDF-02: candidates written as a model would answer, and read back."""
+    one = F.to_json(F.array(F.struct("title", "problem", "recommendation", "triggers", F.col("apply_when").alias("applyWhen"), "confidence")))
+    rows = table(spark, d, "candidates").select(F.col("candidate_id").alias("id"), F.concat(F.lit("Here is what I found:\n"), one, F.lit("\nThat is all.")).alias("answer"))
+    out = extraction.candidates(rows)
+    return out.select("id", "place", "title", "problem", "recommendation", F.array_join("triggers", "|").alias("triggers"), F.array_join("apply_when", "|").alias("apply_when"), "confidence")
+
+
+@query(f"WITH {E} SELECT id, length(coalesce(description, '')) AS description_chars FROM e")
+def extraction_prompts(spark, d):
+    """UDF-01, UDF-03: every episode asked of the stand-in model, which finds nothing; one prompt per episode."""
+    eps = _e(spark, d)
+    prompts = extraction.prompts(eps)
+    found = extraction.candidates(extraction.answered(prompts)).select("id").distinct()
+    return prompts.join(found, "id", "left_anti").join(eps.select("id", "description"), "id").select("id", F.length(F.coalesce("description", F.lit(""))).cast("long").alias("description_chars"))
+
+
+@query(f"""WITH {_RANKED}, b AS (SELECT task_id, list(title ORDER BY rank) AS titles FROM r JOIN experiences q ON q.id = r.experience_id GROUP BY task_id) SELECT task_id, titles[1] AS first_title, len(titles) AS n FROM b""")
+def rendered_json(spark, d):
+    """RND-03: the ranked experiences of a task as one JSON document, read back by path."""
+    rows = _ranked(spark, d).join(table(spark, d, "experiences").select(F.col("id").alias("experience_id"), "title", "recommendation"), "experience_id")
+    doc = rows.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("rank", "title", "recommendation"))).alias("experiences"))
+    text = doc.select("task_id", F.to_json(F.struct("experiences")).alias("json"))
+    return text.select("task_id", F.get_json_object("json", "$.experiences[0].title").alias("first_title"), F.json_array_length(F.get_json_object("json", "$.experiences")).cast("long").alias("n"))
+
+
+@query(f"""WITH {E}, w AS (SELECT *, CASE WHEN lower(project_path) LIKE '/users/%' THEN 'mac' ELSE 'other' END AS host FROM e) SELECT host, count(*) AS sessions, count(*) FILTER (status = 'failure') AS errors,
+    array_to_string(list_sort(list(DISTINCT domain) FILTER (domain IS NOT NULL)), ',') AS domains FROM w GROUP BY host""")
+def combined_results(spark, d):
+    """AGG-10, AGG-11, AGG-12: counters of several projects added up, with the distinct values they saw."""
+    e = _e(spark, d).withColumn("host", F.when(F.lower("project_path").startswith("/users/"), "mac").otherwise("other"))
+    return e.groupBy("host").agg(F.count("*").alias("sessions"), F.count_if(F.col("status") == "failure").alias("errors"), F.array_join(F.array_sort(F.collect_set("domain")), ",").alias("domains"))
+
+
+@query("SELECT id AS candidate_id, existing_id FROM (SELECT c.candidate_id AS id, q.id AS existing_id, row_number() OVER (PARTITION BY c.candidate_id ORDER BY q.id) AS n FROM candidates c JOIN experiences q ON lower(trim(q.title)) = lower(trim(c.title)) AND q.scope = c.scope WHERE q.status = 'active') WHERE n = 1")
+def same_titles(spark, d):
+    """FLT-07 rule 5, SIM-04: the first active record of the same scope and title as a candidate."""
+    c = table(spark, d, "candidates").select("candidate_id", "scope", F.lower(F.trim("title")).alias("t"))
+    x = table(spark, d, "experiences").where("status = 'active'").groupBy("scope", F.lower(F.trim("title")).alias("t")).agg(F.min("id").alias("existing_id"))
+    return c.join(x, ["scope", "t"]).select("candidate_id", "existing_id")

@@ -181,3 +181,24 @@ def test_records(spark):
     df = spark.createDataFrame([("a", "k", "2"), ("b", None, None), ("c", "k", "3")], "id string, domain string, at string")
     assert [r.id for r in records.latest(records.matching(df, domain="", at=None), "at").collect()] == ["c", "a", "b"]
     assert [r.id for r in records.latest(records.matching(df, domain="k"), "at", 1).collect()] == ["c"]
+
+
+def test_extraction(spark):
+    from lorewell.operators import extraction
+
+    good = 'Sure!\n[{"title":"T","triggers":"one","applyWhen":["a","b"],"confidence":"high"},{"title":"U","confidence":0.9},{"title":"V"},{"title":"beyond"}]\nBye'
+    rows = spark.createDataFrame([("g", good), ("n", "no json"), ("b", "[{broken]"), ("e", "[]"), ("z", None)], "id string, answer string")
+    got = [(r.id, r.place, r.title, r.triggers, r.apply_when, r.confidence) for r in extraction.candidates(rows).orderBy("id", "place").collect()]
+    assert got == [("g", 0, "T", ["one"], ["a", "b"], 0.5), ("g", 1, "U", [], [], 0.9), ("g", 2, "V", [], [], 0.5)]
+    eps = spark.createDataFrame([("e1", "Fix it", "success", None, ([(0, "Read", None), (1, None, "boom")],)), ("e2", None, None, None, None)], "id string, description string, status string, result string, trace struct<steps:array<struct<step_index:int,action:string,error:string>>>")
+    prompts = {r.id: r.prompt for r in extraction.prompts(eps).collect()}
+    assert "1. Read\n2.  failed: boom" in prompts["e1"] and "Task: \n" in prompts["e2"]
+
+    def model(prompt):
+        if "Fix it" in prompt:
+            return '[{"title":"found"}]'
+        raise RuntimeError("down")
+
+    found = extraction.candidates(extraction.answered(extraction.prompts(eps), model)).collect()
+    assert [(r.id, r.title) for r in found] == [("e1", "found")]
+    assert extraction.candidates(extraction.answered(extraction.prompts(eps))).count() == 0
