@@ -9,10 +9,13 @@ longer than a gap calibrated on the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewell.operators.prefix import running
+
 RUN = 1024
+STRETCH_S = 6 * 3600
 # Fixed spellings of the roles, after trimming and ignoring case.
 USER, ASSISTANT = ("user", "human"), ("assistant", "model", "ai", "gemini")
 BLANK = r"^[\s\p{Z}\p{Cf}]*\z"
@@ -78,26 +81,35 @@ def conversations(session_refs: DataFrame, messages: DataFrame) -> DataFrame:
     return rows.select("session_id", "seq", "m.*")
 
 
-def calibrated_gap(messages: DataFrame, channel: str, time: str, quantile: float = 0.995, accuracy: int = 10_000) -> DataFrame:
-    """(gap_s): the silence that only ``1 - quantile`` of all pauses inside a channel exceed; a one-row table."""
-    hour = F.window(time, "6 hours").start
-    # Pauses are taken inside six-hour windows of a channel, so a channel with a third of all rows is spread out.
-    from pyspark.sql import Window
+def _paused(messages: DataFrame, channel: str, time: str) -> DataFrame:
+    """(channel, t, stretch, pause): the seconds since the message before in the channel; null for its first.
+
+    A channel is cut into stretches of ``STRETCH_S`` seconds. Inside one the message before is the window's; the
+    first of a stretch looks at the end of the last stretch, and only the stretches' ends meet per channel.
+    """
+    rows = messages.where(F.col(channel).isNotNull() & F.col(time).isNotNull()).select(F.col(channel).alias("channel"), F.col(time).cast("timestamp").alias("t"))
+    rows = rows.withColumn("stretch", F.floor(F.unix_seconds("t") / STRETCH_S))
+    ends = rows.groupBy("channel", "stretch").agg(F.max("t").alias("end"))
+    ends = ends.select("channel", "stretch", F.lag("end").over(Window.partitionBy("channel").orderBy("stretch")).alias("before"))
+    near = F.lag("t").over(Window.partitionBy("channel", "stretch").orderBy("t"))
+    return rows.join(ends, ["channel", "stretch"]).select("channel", "t", "stretch", (F.col("t").cast("double") - F.coalesce(near, F.col("before")).cast("double")).alias("pause"))
+
 
-    w = Window.partitionBy(channel, hour).orderBy(time)
-    pause = F.col(time).cast("double") - F.lag(time).over(w).cast("double")
-    return messages.where(F.col(channel).isNotNull() & F.col(time).isNotNull()).select(pause.alias("pause")).agg(F.percentile_approx("pause", quantile, accuracy).alias("gap_s"))
+def calibrated_gap(messages: DataFrame, channel: str, time: str, quantile: float = 0.995, accuracy: int = 10_000) -> DataFrame:
+    """(gap_s): the silence that only ``1 - quantile`` of all pauses inside a channel exceed; a one-row table, null without pauses."""
+    return _paused(messages, channel, time).agg(F.percentile_approx("pause", quantile, accuracy).alias("gap_s"))
 
 
 def segments(messages: DataFrame, channel: str, time: str, quantile: float = 0.995) -> DataFrame:
-    """(channel, started, ended, n): conversations of a channel without sessions, split where it was silent for longer than the calibrated gap.
+    """(channel, segment, started, ended, n): conversations of a channel without sessions, from 1, split where it was silent for longer than the calibrated gap.
 
-    ``session_window`` merges rows whose gaps overlap with map-side combining, so a hot channel is not collected.
-    Rows with a null channel or time are left out; an empty table gives no segment.
+    The number of a message's segment is a running count of breaks over stretches, so a channel with a third of
+    all rows is spread out. Rows with a null channel or time are left out; repeated rows count; messages of the
+    same time belong together; an empty table gives no segment.
     """
-    rows = messages.where(F.col(channel).isNotNull() & F.col(time).isNotNull()).select(channel, F.col(time).alias("__t"))
     gap = calibrated_gap(messages, channel, time, quantile).first()["gap_s"]
-    if gap is None:
-        gap = 1.0
-    w = F.session_window("__t", f"{max(1, round(gap * 1000))} milliseconds")
-    return rows.groupBy(channel, w).agg(F.min("__t").alias("started"), F.max("__t").alias("ended"), F.count("*").alias("n")).select(channel, "started", "ended", "n")
+    rows = _paused(messages, channel, time)
+    brk = F.when(F.col("pause").isNull() | (F.col("pause") > F.lit(gap if gap is not None else 0.0)), 1).otherwise(0)
+    rows = rows.groupBy("channel", "stretch", "t").agg(F.max(brk).alias("brk"), F.count("*").alias("k"))
+    numbered = running(rows, ["channel"], F.col("stretch"), ["t"], segment=F.col("brk"))
+    return numbered.groupBy("channel", "segment").agg(F.min("t").alias("started"), F.max("t").alias("ended"), F.sum("k").alias("n"))

@@ -48,8 +48,10 @@ def test_runs_do_not_matter(spark, monkeypatch):
 
 def test_segments(spark):
     t0 = datetime(2026, 1, 1)
-    rows = [("c", t0 + timedelta(minutes=k)) for k in range(50)] + [("c", t0 + timedelta(hours=9, minutes=k)) for k in range(50)] + [("d", t0), (None, t0), ("d", None)]
-    df = spark.createDataFrame(rows, "channel string, at timestamp")
-    got = sorted((r.channel, r.n) for r in C.segments(df, "channel", "at", 0.9).collect())
-    assert got == [("c", 50), ("c", 50), ("d", 1)]
-    assert C.segments(df.limit(0), "channel", "at").count() == 0
+    rows = [("c", t0 + timedelta(minutes=k)) for k in range(500)] + [("c", t0 + timedelta(hours=40, minutes=k)) for k in range(50)] + [("c", t0), ("d", t0), (None, t0), ("d", None)]
+    df = spark.createDataFrame(rows, "room string, at timestamp")
+    assert C.calibrated_gap(df, "room", "at", 0.9).first().gap_s == 60.0
+    got = sorted((r.channel, r.segment, r.n, r.started, r.ended) for r in C.segments(df, "room", "at", 0.9).collect())
+    end = timedelta(minutes=49)
+    assert got == [("c", 1, 501, t0, t0 + timedelta(minutes=499)), ("c", 2, 50, t0 + timedelta(hours=40), t0 + timedelta(hours=40) + end), ("d", 1, 1, t0, t0)]
+    assert C.segments(df.limit(0), "room", "at").count() == 0
