@@ -65,10 +65,14 @@ def _answered() -> Column:
 
 def judged(session_refs: DataFrame, messages: DataFrame) -> DataFrame:
     """(session_id, reason): every listed session; reason is null for those to keep, else empty, incomplete or unanswered."""
+    return _judged(session_refs, messages).drop("high")
+
+
+def _judged(session_refs: DataFrame, messages: DataFrame) -> DataFrame:
     listed = session_refs.where("id is not null").select(F.col("id").alias("session_id")).distinct()
     state = listed.join(session_state(messages), "session_id", "left")
     reason = F.when(F.col("n").isNull(), "empty").when(~_complete(), "incomplete").when(~_answered(), "unanswered")
-    return state.select("session_id", reason.alias("reason"))
+    return state.select("session_id", reason.alias("reason"), "high")
 
 
 def conversations(session_refs: DataFrame, messages: DataFrame) -> DataFrame:
@@ -76,8 +80,12 @@ def conversations(session_refs: DataFrame, messages: DataFrame) -> DataFrame:
 
     Of repeated deliveries the first is taken. Rows are ordered by (session_id, seq), which is unique.
     """
-    keep = judged(session_refs, messages).where("reason is null").select("session_id")
-    rows = messages.join(keep, "session_id").groupBy("session_id", "seq").agg(F.min_by(F.struct(role().alias("role"), "content", F.col("ingested_at").alias("sent")), F.struct("ingested_at", "message_id")).alias("m"))
+    # Kept sessions are listed once per run of messages, so rows meet them under (session, run) and a long session is spread out.
+    keep = _judged(session_refs, messages).where("reason is null")
+    keep = keep.select("session_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("high") / RUN))).alias("run"))
+    first = F.min_by(F.struct(role().alias("role"), "content", F.col("ingested_at").alias("sent")), F.struct("ingested_at", "message_id"))
+    sent = messages.where("session_id is not null and seq is not null").select("session_id", "seq", "role", "content", "ingested_at", "message_id", F.floor(F.col("seq") / RUN).alias("run"))
+    rows = sent.join(keep, ["session_id", "run"], "left_semi").groupBy("session_id", "run", "seq").agg(first.alias("m"))
     return rows.select("session_id", "seq", "m.*")
 
 
