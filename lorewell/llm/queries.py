@@ -24,13 +24,29 @@ def p2_message_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_messages(table(spark, d, "messages"))
 
 
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "candidates").select(F.col("candidate_id").alias("id"), batch_dedup.record_words(_TEXTS).alias("words"), F.struct("batch_no", "received_at").alias("turn"))
+
+
+def _history(spark: SparkSession, d: str) -> batch_dedup.History:
+    return batch_dedup.new_history(spark, table(spark, d, "experiences").select("id", batch_dedup.record_words(_TEXTS).alias("words")))
+
+
+def _repeats(found: DataFrame) -> DataFrame:
+    return found.select(F.least("new_id", "old_id").alias("id_a"), F.greatest("new_id", "old_id").alias("id_b"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates that repeat an accepted record, with the records they repeat."""
-    words = batch_dedup.record_words(_TEXTS).alias("words")
-    history = batch_dedup.History(table(spark, d, "experiences").select("id", words))
-    batch = table(spark, d, "candidates").select(F.col("candidate_id").alias("id"), words, F.struct("batch_no", "received_at").alias("turn"))
-    repeats = history.add(batch)
-    return repeats.select(F.least("new_id", "old_id").alias("id_a"), F.greatest("new_id", "old_id").alias("id_b"))
+    """Candidates that repeat an accepted record, with the records they repeat; all batches as one, in their order."""
+    return _repeats(_history(spark, d).add(_candidates(spark, d)))
+
+
+def p3_reopened(spark: SparkSession, d: str) -> DataFrame:
+    """The same in two lots of batches, the second against the history opened again from its path."""
+    path, new = _history(spark, d).path, _candidates(spark, d)
+    late = F.coalesce(F.col("turn.batch_no") > 6, F.lit(False))
+    first = batch_dedup.History.open(spark, path).add(new.where(~late))
+    return _repeats(first.unionByName(batch_dedup.History.open(spark, path).add(new.where(late))))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +59,11 @@ def p4_linked(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.NearDuplicates(table(spark, d, "experiences"), "id", near_dup.experience_texts()).linked()
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each experience with its class and the group of classes that similarity connects."""
+    return near_dup.NearDuplicates(table(spark, d, "experiences"), "id", near_dup.experience_texts()).groups()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Sessions to drop."""
     return conversations.judged(table(spark, d, "session_refs"), table(spark, d, "messages")).where("reason is not null").select("session_id")
@@ -101,18 +122,41 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_delta_pieces, p2_message_pieces, p3_found, p4_found, p4_linked, p5_found, p5_conversations, p5_threads,
+        p2_found, p2_delta_pieces, p2_message_pieces, p3_found, p3_reopened, p4_found, p4_linked, p4_groups, p5_found, p5_conversations, p5_threads,
         p6_found, p6_masked, p8_containers, p9_found, p9_passages, p10_found, p10_restored,
     )
 }
 
 _ONE_EACH = "SELECT DISTINCT session_id, seq, line_no, role, content FROM messages"
 
+_SET = "list_distinct(list_filter(string_split_regex(lower(concat_ws(' ', title, problem, recommendation, array_to_string(triggers, ' '))), '[^a-z0-9]+'), lambda x: x <> ''))"
+# All similar pairs, then one step of recursion for each candidate that resembles an earlier one; "gone" are those that repeat something.
+_REPEATS = f"""
+        WITH RECURSIVE w AS (
+            SELECT id, 0 AS pos, {_SET} AS ws FROM experiences
+            UNION ALL SELECT candidate_id, row_number() OVER (ORDER BY batch_no, received_at, candidate_id), {_SET} FROM candidates),
+        t AS (SELECT id, pos, len(ws) AS n, unnest(ws) AS word FROM w),
+        c AS (
+            SELECT a.id AS new_id, a.pos AS pos, b.id AS old_id, b.pos AS old_pos, a.n + b.n AS total, count(*) AS k
+            FROM t a JOIN t b ON a.word = b.word AND a.pos > b.pos GROUP BY ALL),
+        s AS (SELECT * FROM c WHERE k >= 0.6 * (total - k) - 1e-9),
+        known AS (SELECT DISTINCT pos FROM s WHERE old_pos = 0),
+        e AS (SELECT pos, list(old_pos) AS olds, row_number() OVER (ORDER BY pos) AS i FROM s WHERE old_pos > 0 AND pos NOT IN (SELECT pos FROM known) GROUP BY pos),
+        turns AS (
+            SELECT CAST(0 AS BIGINT) AS i, coalesce((SELECT list(pos) FROM known), []) AS gone
+            UNION ALL
+            SELECT e.i, CASE WHEN len(list_filter(e.olds, lambda o: NOT list_contains(turns.gone, o))) > 0 THEN list_append(turns.gone, e.pos) ELSE turns.gone END
+            FROM turns JOIN e ON e.i = turns.i + 1),
+        lost AS (SELECT DISTINCT unnest(gone) AS pos FROM turns WHERE i = (SELECT max(i) FROM turns))
+        SELECT DISTINCT least(new_id, old_id) AS id_a, greatest(new_id, old_id) AS id_b FROM s WHERE old_pos = 0 OR old_pos NOT IN (SELECT pos FROM lost)"""
+
 SQL = {
     "p2_found": f"""
         WITH m AS ({_ONE_EACH}), d AS (SELECT DISTINCT session_id, delta_number, line_start, line_end FROM deltas)
         SELECT d.session_id, d.delta_number FROM d JOIN m ON m.session_id = d.session_id AND m.line_no >= d.line_start AND m.line_no < d.line_end
         GROUP BY d.session_id, d.delta_number HAVING sum(length(m.content)) > 3000""",
+    "p3_found": _REPEATS,
+    "p3_reopened": _REPEATS,
     "p4_found": """
         WITH w AS (SELECT id, list_distinct(list_filter(string_split_regex(lower(concat_ws(' ', title, problem, recommendation)), '[^a-z0-9]+'), lambda x: x <> '')) AS ws FROM experiences),
         t AS (SELECT id, len(ws) AS n, unnest(ws) AS word FROM w),

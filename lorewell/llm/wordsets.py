@@ -1,22 +1,14 @@
-"""Word sets, their rarity order and the keys under which similar sets are certain to meet.
-
-Two sets with a Jaccard similarity of ``t`` or more share at least ``c`` words, ``c >= t * larger`` and
-``c >= 2t / (1 + t) * smaller``. With all words in one global order, rare ones first, their first two
-common words lie within the first ``n - c + 2`` words of either set. So every pair of words (a word
-2-gram of the ordered set) from that prefix is a key, and similar sets share a key: the search is exact.
-Pairs of rare words are far more selective than single words, which keeps candidates near-linear.
-Sets of more than ``WIDE`` words would have too many pairs; pairs in which the larger set is that wide
-meet under single words, by the same argument with one common word.
-"""
+"""Word sets: tokens, hashes, a bounded table of word frequencies, and similarity."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WIDE = 160
 EPS = 1e-9
-BITMAP_WORDS = 2  # 64-bit words of the fingerprint
+#: Cells of the table of word frequencies. Its size is fixed (4 bytes a cell), whatever the vocabulary.
+CELLS = 1 << 20
 
 
 def words(*texts: Column) -> Column:
@@ -24,78 +16,21 @@ def words(*texts: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", *texts)), "[^a-z0-9]+"), lambda w: w != ""))
 
 
-def fingerprint(hashes: Column, part: int) -> Column:
-    """64 bits of a set's fingerprint: bit b is set if some word hashes to it.
-
-    The bits in which two fingerprints differ never outnumber the words in which the sets differ.
-    """
-
-    def step(acc, h):
-        bit = F.pmod(h, F.lit(64 * BITMAP_WORDS))
-        mine = (bit >= 64 * part) & (bit < 64 * (part + 1))
-        return F.when(mine, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (bit - 64 * part).cast("int")))).otherwise(acc)
-
-    return F.aggregate(hashes, F.lit(0).cast("long"), step)
-
+def hashes(words_: str | Column) -> Column:
+    return F.transform(words_, lambda w: F.xxhash64(w))
 
-def document_frequencies(sets: DataFrame, column: str = "words") -> DataFrame:
-    """(word, df) over all rows."""
-    return sets.select(F.explode(column).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
 
+def frequencies(sets: DataFrame, column: str = "hs") -> np.ndarray:
+    """Sets that hold a word of each cell, over all rows: an array of ``CELLS`` counts, at least the frequency of every word in the cell.
 
-def ordered(sets: DataFrame, frequencies: DataFrame, keep: list[str]) -> DataFrame:
-    """Adds ``hs``: the hashes of the words of ``words``, rarest first. Words without a frequency come first.
-
-    The sort key is carried as (df, hash), so the order is the same total order for every row.
+    At most ``CELLS`` sums reach the driver, whatever the data. Any array gives a valid order of the words;
+    a crowded cell only makes its words count as more frequent than they are.
     """
-    one = sets.select(*keep, F.explode("words").alias("word"))
-    rated = one.join(frequencies, "word", "left").select(*keep, F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.xxhash64("word").alias("h")).alias("x"))
-    return rated.groupBy(*keep).agg(F.sort_array(F.collect_list("x")).alias("x")).select(*keep, F.col("x.h").alias("hs"))
-
-
-def keyed(df: DataFrame, keep: list[str], threshold: float) -> DataFrame:
-    """One row per key: ``keep``, n, b0, b1 (fingerprint), key, near.
-
-    ``near`` marks keys of the shorter prefix that is enough where the set is the smaller of a pair.
-    Input: ``hs`` in rarity order.
-    """
-    t = threshold
-    n = F.size("hs")
-    base = df.select(*keep, "hs", n.alias("n"), *[fingerprint(F.col("hs"), k).alias(f"b{k}") for k in range(BITMAP_WORDS)]).where("n > 0")
-    need_any = F.ceil(F.col("n") * t - EPS).cast("int")
-    need_small = F.ceil(F.col("n") * (2 * t / (1 + t)) - EPS).cast("int")
-    base = base.select("*", need_any.alias("_a"), need_small.alias("_s"))
-
-    def prefix(need: Column, common: int) -> Column:
-        return F.least(F.col("n"), F.col("n") - need + common)
-
-    base = base.select("*", prefix(F.col("_a"), 2).alias("_p2"), prefix(F.col("_s"), 2).alias("_q2"), prefix(F.col("_a"), 1).alias("_p1"), prefix(F.col("_s"), 1).alias("_q1"))
-    hs = F.col("hs")
-    pairs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.col("_p2") - 2),
-            lambda i: F.transform(
-                F.slice(hs, i + 2, F.col("_p2") - 1 - i),
-                lambda b, j: F.struct(F.xxhash64(F.get(hs, i), b).alias("key"), (i + j + 1 < F.col("_q2")).alias("near")),
-            ),
-        )
-    )
-    singles = F.transform(F.slice(hs, F.lit(1), F.col("_p1")), lambda a, i: F.struct(F.xxhash64(a, F.lit("wide")).alias("key"), (i < F.col("_q1")).alias("near")))
-    none = F.expr("cast(array() as array<struct<key:bigint,near:boolean>>)")
-    keys = F.concat(
-        F.when((F.col("n") <= WIDE) & (F.col("_p2") >= 2), pairs).otherwise(none),
-        # Partners of a wide set, and sets so small that one common word is enough.
-        F.when((F.col("n") >= F.ceil(F.lit(WIDE * t))) | (F.col("_a") < 2), singles).otherwise(none),
-    )
-    return base.select(*keep, "n", "b0", "b1", F.inline(keys))
-
-
-def may_be_similar(a: str, b: str, threshold: float) -> Column:
-    """Size and fingerprint bounds that every similar pair meets; ``a`` and ``b`` are aliases."""
-    t = threshold
-    small, large = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")), F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    differ = sum((F.bit_count(F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))) for k in range(BITMAP_WORDS)), F.lit(0))
-    return (small >= large * t - EPS) & (differ <= (small + large) * ((1 - t) / (1 + t)) + EPS)
+    cells = sets.select(F.explode(column).alias("h")).groupBy(F.pmod("h", F.lit(CELLS)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
+    out = np.zeros(CELLS, np.uint32)
+    got = cells.toPandas()
+    out[got["cell"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(np.int64), 2**32 - 1)
+    return out
 
 
 def jaccard(x: Column, y: Column) -> Column:
