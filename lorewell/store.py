@@ -3,33 +3,75 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary folder is made and set;
-    on a cluster the setting must name storage that every executor reaches.
+    Only on a single machine (master ``local[...]``) a temporary folder stands in where the session names none;
+    on a cluster a missing setting is an error, as executors would not find one another's files.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="lorewell-")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="lorewell-")
+        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+    return _local[app]
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it is removed with the tables of the application."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/lorewell/{app}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(app, []).append(path)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and returns a reader of it.
 
-    Survives the loss of executors, unlike cached or locally checkpointed blocks.
+    Survives the loss of executors, unlike cached or locally checkpointed blocks. ``release`` or the end of a
+    ``scratch`` block removes the table.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorewell/{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a path of the shared storage, whatever file system it is on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession, after: int = 0) -> None:
+    """Removes the tables written by this application, once the results that read them are no longer needed."""
+    written = _written.get(spark.sparkContext.applicationId, [])
+    for path in written[after:]:
+        remove(spark, path)
+    del written[after:]
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside the block are removed at its end; results must have been written or collected by then."""
+    before = len(_written.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, before)
