@@ -109,6 +109,11 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).distinct()
 
 
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The posts that are left once those with passages are removed."""
+    return contamination.without_leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items")).select("doc_id")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Posts with a garbled part."""
     return encoding.repaired(table(spark, d, "documents")).select("doc_id").distinct()
@@ -123,7 +128,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_delta_pieces, p2_message_pieces, p3_found, p3_reopened, p4_found, p4_linked, p4_groups, p5_found, p5_conversations, p5_threads,
-        p6_found, p6_masked, p8_containers, p9_found, p9_passages, p10_found, p10_restored,
+        p6_found, p6_masked, p8_containers, p9_found, p9_passages, p9_kept, p10_found, p10_restored,
     )
 }
 

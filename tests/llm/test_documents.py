@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,20 +92,35 @@ def test_leaks_against_windows(spark, monkeypatch, seed):
         docs.append((k, rng.choice([" ", "\n> ", "</b> ", ", "]).join(t)))
     docs += [(900, None), (901, ""), docs[0]]
     items += [(90, None), (91, "too short")]
-    monkeypatch.setattr(K, "SHARD", 400)
     d, i = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string")
     want = windows(docs, items, 12)
-    assert {(r.doc_id, r.item_id) for r in K.leaked_items(d.drop("item_id"), i).collect()} == want and want
+    index = K.SuffixIndex.build(d, shard=400)
+    assert {(r.doc_id, r.item_id) for r in index.leaks(i).collect()} == want and want
+    assert {(r.doc_id, r.item_id) for r in K.leaked_items(d.drop("item_id"), i).collect()} == want
     monkeypatch.setattr(K, "BLOCK_WORDS", 200)
-    assert {(r.doc_id, r.item_id) for r in K.leaks(d, i).select("doc_id", "item_id").distinct().collect()} == want
+    monkeypatch.setattr(K, "STEP", 7)
+    assert {(r.doc_id, r.item_id) for r in K.SuffixIndex(spark, index.path).leaks(i).collect()} == want
     assert {r.doc_id for r in K.without_leaks(d, i).collect()} == {x[0] for x in docs} - {x[0] for x in want}
 
 
+def matched(doc, item, minimum=12):
+    text = np.append(K.hashed([item]), np.uint64(0))
+    return sorted((int(p), int(q), int(n)) for ps, qs, ns in K.Shard.of([7], [doc]).passages(text, minimum) for p, q, n in zip(ps, qs, ns))
+
+
 def test_matches_are_maximal():
     item = [f"i{k}" for k in range(40)]
     doc = ["a", *item[3:25], "b", *item[30:40], *item[:14]]
-    assert sorted(K.matches([doc], [item])) == [(0, 0, 1, 3, 22), (0, 0, 34, 0, 14)]
-    assert K.matches([doc], []) == [] == K.matches([[]], [item]) == K.matches([["a"]], [item])
+    assert matched(doc, item) == [(1, 3, 22), (34, 0, 14)]
+    assert matched(["a"], item) == [] == matched(doc, ["a"])
+    assert matched(["x"] * 14, ["x"] * 13) == [(0, 0, 13), (0, 1, 12), (1, 0, 13), (2, 0, 12)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=60))
+def test_suffixes_are_in_order(codes):
+    codes = [*codes, -1]
+    assert K.suffix_array(np.array(codes)).tolist() == sorted(range(len(codes)), key=lambda k: codes[k:])
 
 
 def test_words_of_marked_text():
