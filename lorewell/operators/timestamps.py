@@ -2,14 +2,21 @@
 
 All of it is built-in SQL: a cascade of anchored patterns takes a text apart, ``to_utc_timestamp`` applies
 zone rules (a local time that occurs twice means the first; one that daylight saving skips moves on by
-the gap), and the offset history of sessions without a zone is estimated by aggregation.
+the gap). Sessions without a zone get an offset history: local times are aligned with their ingestion, or
+with the zoned times around them in the session's order, and the history of offsets that violates fewest
+alignments converts them. Only the choice of a history, over the counted votes of a session's days, is
+done in Python.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewell.store import cut
+
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z\z"
 
 # Zone abbreviations and their offsets in minutes (fixed values of public time zone data).
@@ -150,29 +157,80 @@ def session_zones(session_refs: DataFrame) -> DataFrame:
     return session_refs.groupBy(F.col("id").alias("session_id")).agg(F.max(F.col("metadata")["timezone"]).alias("zone"))
 
 
-def estimate_offsets(floating: DataFrame, step_minutes: int = 15, max_delay_ms: int = 3_600_000) -> DataFrame:
-    """The offset of each session and day whose local times have no zone, by aligning them with ingestion.
+#: Offsets are multiples of this, from -12 to 14 hours.
+STEP_MIN = 15
+#: A change of offset from one day to the next counts as this many violations.
+CHANGE = 3.0
+#: A message is ingested within this time, unless it is late.
+MAX_DELAY_MS = 3_600_000
+RUN = 1024
+
 
-    ``floating``: (session_id, local_ms, ingested_ms). A message is ingested after it was written, and soon.
-    An offset therefore violates the order for a row if the instant would lie after its ingestion or more
-    than ``max_delay_ms`` before it. Each row votes for the offsets it does not violate; the votes of a
-    session's day are counted with map-side combining, and the offset with the fewest violations is kept,
-    of equals the one nearest before ingestion. Days are estimated apart from one another, so a change of
-    offset inside a session (daylight saving) is followed. Late rows only add an equal number of
-    violations to every offset. Rows with a null are left out; the result has (session_id, day, offset_min,
-    rows, violations).
+def aligned(messages: DataFrame, sessions: DataFrame, max_delay_ms: int = MAX_DELAY_MS) -> DataFrame:
+    """(session_id, local_ms, low_ms, high_ms): the times without zone of the given sessions and the span their instants must lie in.
+
+    ``messages``: (session_id, seq, ts, ingested_at). The span is that between the zoned times before and after in
+    the session's order (looked for within runs of ``RUN`` numbers, so no session is one task), where both exist
+    and are at most ``max_delay_ms`` apart; else the ``max_delay_ms`` before ingestion.
+    """
+    rows = messages.where("ts is not null").select("session_id", "seq", "ts", F.unix_millis("ingested_at").alias("ingested_ms")).join(sessions.select("session_id").distinct(), "session_id", "left_semi")
+    read = parse(rows, "ts").withColumn("run", F.floor(F.col("seq") / RUN))
+    order = Window.partitionBy("session_id", "run").orderBy("seq")
+    before = F.last("instant_ms", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("instant_ms", True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    read = read.select("session_id", "floating", "local_ms", "ingested_ms", before.alias("before"), after.alias("after")).where("floating and local_ms is not null")
+    near = (F.col("after") >= F.col("before")) & (F.col("after") - F.col("before") <= max_delay_ms)
+    return read.select("session_id", "local_ms", F.when(near, F.col("before")).otherwise(F.col("ingested_ms") - max_delay_ms).alias("low_ms"), F.when(near, F.col("after")).otherwise(F.col("ingested_ms")).alias("high_ms"))
+
+
+def estimate_offsets(floating: DataFrame, change: float = CHANGE) -> DataFrame:
+    """(session_id, day, offset_min, rows, violations): the offset history of each session, by day of its local times.
+
+    ``floating``: (session_id, local_ms, low_ms, high_ms). Each row votes for the offsets that put its instant into
+    its span; all others violate it. Votes are counted per session, day and offset with map-side combining, at
+    most some hundred rows a session-day. Of all histories the one with the fewest violations is chosen, a change
+    of offset counting as ``change`` of them (dynamic programming over the days), so that single days with few
+    rows follow their neighbours; of equals the smallest offset. Rows that no offset satisfies violate every one.
+    Rows with a null are left out.
     """
-    rows = floating.where("local_ms is not null and ingested_ms is not null").withColumn("day", F.floor(F.col("local_ms") / 86_400_000))
-    step = step_minutes * 60_000
-    # The smallest offset that puts the instant before ingestion, and how many steps stay within the delay.
-    first = F.ceil((F.col("local_ms") - F.col("ingested_ms")) / step)
-    last = F.floor((F.col("local_ms") - F.col("ingested_ms") + max_delay_ms) / step)
-    low, high = -12 * 60 // step_minutes, 14 * 60 // step_minutes
-    votes = rows.select("session_id", "day", F.explode_outer(F.when((first <= high) & (last >= low), F.sequence(F.greatest(first, F.lit(low)), F.least(last, F.lit(high))))).alias("k"))
-    counted = votes.where("k is not null").groupBy("session_id", "day", "k").agg(F.count("*").alias("votes"))
-    best = counted.groupBy("session_id", "day").agg(F.max_by("k", F.struct("votes", -F.col("k"))).alias("k"), F.max("votes").alias("votes"))
+    rows = floating.where("local_ms is not null and low_ms is not null and high_ms is not null").withColumn("day", F.floor(F.col("local_ms") / 86_400_000))
+    step = STEP_MIN * 60_000
+    first, last = F.ceil((F.col("local_ms") - F.col("high_ms")) / step), F.floor((F.col("local_ms") - F.col("low_ms")) / step)
+    low, high = -12 * 60 // STEP_MIN, 14 * 60 // STEP_MIN
+    fits = (first <= high) & (last >= low) & (first <= last)
+    votes = rows.select("session_id", "day", F.explode(F.when(fits, F.sequence(F.greatest(first, F.lit(low)), F.least(last, F.lit(high)))).otherwise(F.array(F.lit(None).cast("long")))).alias("k"), F.lit(1).alias("one"))
+    counted = votes.groupBy("session_id", "day", "k").agg(F.count("*").alias("votes"))
     totals = rows.groupBy("session_id", "day").agg(F.count("*").alias("rows"))
-    return best.join(totals, ["session_id", "day"]).select("session_id", "day", (F.col("k") * step_minutes).cast("int").alias("offset_min"), "rows", (F.col("rows") - F.col("votes")).alias("violations"))
+    width = high - low + 1
+
+    def history(pdf: pd.DataFrame) -> pd.DataFrame:
+        days = np.sort(pdf["day"].unique())
+        at = np.searchsorted(days, pdf["day"])
+        n = np.zeros(len(days), np.int64)
+        n[at] = pdf["rows"]
+        miss = np.repeat(n[:, None].astype(float), width, axis=1)
+        known = pdf["k"].notna().to_numpy()
+        miss[at[known], (pdf["k"][known] - low).astype(int)] -= pdf["votes"][known]
+        cost, came = miss[0].copy(), np.zeros((len(days), width), np.int64)
+        for d in range(1, len(days)):
+            cheapest = int(np.argmin(cost))
+            stay = cost <= cost[cheapest] + change
+            came[d] = np.where(stay, np.arange(width), cheapest)
+            cost = np.where(stay, cost, cost[cheapest] + change) + miss[d]
+        k = int(np.argmin(cost))
+        best = np.zeros(len(days), np.int64)
+        for d in range(len(days) - 1, -1, -1):
+            best[d] = k
+            k = came[d, k]
+        return pd.DataFrame({"session_id": pdf["session_id"].iloc[0], "day": days, "offset_min": (best + low) * STEP_MIN, "rows": n, "violations": miss[np.arange(len(days)), best].astype(np.int64)})
+
+    return counted.join(totals, ["session_id", "day"]).groupBy("session_id").applyInPandas(history, "session_id string, day long, offset_min int, rows long, violations long")
+
+
+def converted(floating: DataFrame, history: DataFrame) -> DataFrame:
+    """Adds ``instant_ms`` to rows (session_id, local_ms, ...) by the offset of their session and day; days without one are left out."""
+    rows = floating.withColumn("day", F.floor(F.col("local_ms") / 86_400_000))
+    return rows.join(history.select("session_id", "day", "offset_min"), ["session_id", "day"]).withColumn("instant_ms", F.col("local_ms") - F.col("offset_min").cast("long") * 60_000).drop("day")
 
 
 def stamped_values(session_refs: DataFrame, messages: DataFrame) -> DataFrame:
@@ -185,12 +243,22 @@ def stamped_values(session_refs: DataFrame, messages: DataFrame) -> DataFrame:
     return sent.unionByName(listed.select(*sent.columns))
 
 
-def normalised(values: DataFrame, session_refs: DataFrame) -> DataFrame:
-    """Instants of all values that are not canonical yet: (source_field, record_key, value, instant_ms).
+def normalised(values: DataFrame, session_refs: DataFrame, messages: DataFrame | None = None) -> DataFrame:
+    """Instants of all values that are not canonical yet: (source_field, record_key, value, instant_ms, zone_from).
 
-    Canonical values are dropped before the join with the sessions' zones, so the shuffle carries only the
-    rest.
+    ``zone_from`` is ``value`` if the text names its zone or offset, ``session`` if the session does, and ``estimate``
+    if neither does and the offset history of the session was estimated from ``messages``; without these such
+    values are left out. Canonical values are dropped before the join with the sessions' zones, so the shuffle
+    carries only the rest.
     """
     odd = values.where(F.col("value").isNotNull() & ~F.col("value").rlike(CANONICAL))
-    zoned = odd.join(session_zones(session_refs), "session_id", "left")
-    return parse(zoned, "value", "zone").where("instant_ms is not null").select("source_field", "record_key", "value", "instant_ms")
+    zones = session_zones(session_refs)
+    read = parse(odd.join(zones, "session_id", "left"), "value", "zone")
+    if messages is not None:
+        read = cut(read.where("instant_ms is not null or (floating and local_ms is not null)"), "timestamps")
+    known = read.where("instant_ms is not null").select("source_field", "record_key", "value", "instant_ms", F.when(F.col("floating"), "session").otherwise("value").alias("zone_from"))
+    if messages is None:
+        return known
+    open_ = read.where("instant_ms is null").select("source_field", "record_key", "session_id", "value", "local_ms")
+    history = estimate_offsets(aligned(messages, open_))
+    return known.unionByName(converted(open_, history).select("source_field", "record_key", "value", "instant_ms", F.lit("estimate").alias("zone_from")))

@@ -49,6 +49,7 @@ def shredded(spark, texts, **kw):
 
 CASES = [
     '{"a":[{"b":2,"c":[{"d":1},7,{"d":[{"e":null}]}]}]}', "[]", "{}", "[{}]", "null", "3", '"x"', "", None, "{", "{'a':[{}]}", '{"a":[{}]} trailing', '[{"a":1}][{"b":1}]',
+    json.dumps(json.dumps(json.dumps(json.dumps(json.dumps(json.dumps(json.dumps([{"a": [{}]}]))))))), json.dumps(json.dumps(json.dumps(json.dumps(json.dumps("text"))))),
     json.dumps(json.dumps([{"a": 1}])), json.dumps(json.dumps(json.dumps([{"a": 1}]))), json.dumps({"s": json.dumps([{"q": [{"r": 1}]}])}), json.dumps({"s": "[{not json"}), json.dumps(["{}", "[]", "plain"]),
     '\n[ {"a" : "x\\ny" , "é": [ {"ü":1} ] } ]',
 ]
@@ -73,6 +74,15 @@ def test_depth_beyond_one_pass(spark):
     assert {p: r.parent_path for (_, p), r in got.items()} == walked(text) and len(got) == 25
 
 
+def test_related_tables(spark):
+    text = '[{"b":2,"t":"x","n":null,"o":{"p":1,"l":[3,null,{"q":"r"},[4]]}},5]'
+    df = spark.createDataFrame([(1, text, "$")], "k int, payload string, root string")
+    fields = {(r.json_path, r.parent_path, r.name, r.value) for r in nested.shred(df, ["k"], kind="fields").collect()}
+    assert fields == {("$[0]", "$[0]", "b", "2"), ("$[0]", "$[0]", "t", "x"), ("$[0]", "$[0]", "n", None), ("$[0].o", "$[0]", "p", "1"), ("$[0].o.l[2]", "$[0].o.l[2]", "q", "r")}
+    items = {(r.json_path, r.parent_path, r.place, r.value) for r in nested.shred(df, ["k"], kind="items").collect()}
+    assert items == {("$", "$", 1, "5"), ("$[0].o.l", "$[0]", 0, "3"), ("$[0].o.l", "$[0]", 1, None), ("$[0].o.l[3]", "$[0]", 0, "4")}
+
+
 def test_empty_and_repeated(spark):
     assert shredded(spark, []) == {}
     df = spark.createDataFrame([(1, "[{}]", "$"), (1, "[{}]", "$")], "k int, payload string, root string")

@@ -59,9 +59,34 @@ def test_estimated_offsets(spark):
                 sent = ms("2026-01-05T10:00:00") + day * 86_400_000 + k * 60_000
                 late = 3 * 86_400_000 if k % 10 == 0 else (k * 37) % 840_000 + 1000
                 rows.append((s, sent + off * 60_000, sent + late))
-    rows += [("a", None, 5), (None, 5, None)]
-    got = timestamps.estimate_offsets(spark.createDataFrame(rows, "session_id string, local_ms long, ingested_ms long"))
+    rows = [(s, x, t - 3_600_000, t) for s, x, t in rows] + [("a", None, 5, 6), (None, 5, None, 7)]
+    got = timestamps.estimate_offsets(spark.createDataFrame(rows, "session_id string, local_ms long, low_ms long, high_ms long"))
     days = {}
     for r in got.orderBy("session_id", "day").collect():
         days.setdefault(r.session_id, []).append((r.offset_min, r.rows, r.violations))
     assert days == {"a": [(600, 40, 4), (660, 40, 4)], "b": [(-420, 40, 4), (-420, 40, 4)], "c": [(330, 40, 4), (330, 40, 4)]}
+
+
+def test_a_day_with_few_rows_follows_its_neighbours(spark):
+    day, rows = 86_400_000, []
+    for d, (n, off) in enumerate([(30, 120), (2, 60), (30, 120)]):
+        for k in range(n):
+            sent = ms("2026-05-04T08:00:00") + d * day + k * 60_000
+            rows.append(("s", sent + off * 60_000, sent - 3_000_000, sent + 1000))
+    got = timestamps.estimate_offsets(spark.createDataFrame(rows, "session_id string, local_ms long, low_ms long, high_ms long")).orderBy("day").collect()
+    assert [r.offset_min for r in got] == [120, 120, 120] and [r.violations for r in got] == [0, 2, 0]
+
+
+def test_zoneless_session_is_converted_by_its_order(spark):
+    """All rows are ingested days later, so only the zoned times around a row tell its offset."""
+    base, rows = ms("2026-02-02T09:00:00"), []
+    text = lambda t: datetime.fromtimestamp(t / 1000, timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    for k in range(30):
+        t = base + k * 60_000
+        rows.append((k, "z", k, text(t) + "Z" if k % 3 == 0 else text(t + 330 * 60_000), datetime(2026, 2, 9, tzinfo=timezone.utc)))
+    msgs = spark.createDataFrame(rows, "message_id long, session_id string, seq long, ts string, ingested_at timestamp")
+    refs = spark.createDataFrame([("z", None, None, None)], "id string, started_at string, ended_at string, metadata map<string,string>")
+    values = timestamps.stamped_values(refs, msgs)
+    got = {int(r.record_key): (r.instant_ms, r.zone_from) for r in timestamps.normalised(values, refs, msgs).collect()}
+    assert got == {k: (base + k * 60_000, "value" if k % 3 == 0 else "estimate") for k in range(30)}
+    assert {r.zone_from for r in timestamps.normalised(values, refs).collect()} == {"value"}
