@@ -1,10 +1,14 @@
 """Ordered conversations with speaker roles, rebuilt from message rows.
 
-The order inside a session is ``seq``. Roles are inferred from the spellings of the sources. Sessions that
-are empty, incomplete or unanswered are dropped. A session may hold a third of all rows, so nothing
-collects a session: its rows are summarised in runs of ``RUN`` numbers, and only the summaries, each a few
-bytes, meet per session. Where messages carry no session, ``segments`` starts one after each silence that is
-longer than a gap calibrated on the data.
+Messages are sessionized by channel: ordered, cut where the channel was silent for longer than a gap calibrated
+on the data, given roles, and dropped where replies are not reciprocal. Where rows name a session, that session
+is the conversation: its ``seq`` is the order (clocks step back, rows arrive late), a silence does not end it, and
+roles are the inferred spellings of the sources. Where there is only a channel, roles follow from who opened the
+conversation.
+
+A session or channel may hold a third of all rows, so nothing collects one. A session's rows are summarised in
+runs of ``RUN`` numbers, those summaries in runs of ``RUN`` summaries, and so on for ``LEVELS`` levels, each row at
+most ``RUN`` small values. A channel is cut into stretches of time of which only the ends meet.
 """
 
 from __future__ import annotations
@@ -15,7 +19,10 @@ from pyspark.sql import functions as F
 from lorewell.operators.prefix import running
 
 RUN = 1024
-STRETCH_S = 6 * 3600
+#: Summaries of summaries: with four, a session of 10**12 messages has at most ``RUN`` values in any row.
+LEVELS = 4
+#: Seconds of a channel that are ordered in one task.
+STRETCH_S = 600
 # Fixed spellings of the roles, after trimming and ignoring case.
 USER, ASSISTANT = ("user", "human"), ("assistant", "model", "ai", "gemini")
 BLANK = r"^[\s\p{Z}\p{Cf}]*\z"
@@ -47,10 +54,22 @@ def session_state(messages: DataFrame) -> DataFrame:
         F.array_min("x")["seq"].alias("low"), F.array_max("x")["seq"].alias("high"), turns.alias("t"),
     )
     short = F.when(F.col("t") == "", "").otherwise(F.concat(F.substring("t", 1, 1), F.when(F.contains("t", F.lit("UU")), "X").otherwise("."), F.when(F.contains("t", F.lit("A")), "a").otherwise(""), F.when(F.contains("t", F.lit("U")), "u").otherwise(""), F.substring("t", -1, 1)))
-    return runs.groupBy("session_id").agg(
-        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
-        F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("run", short.alias("s")))), lambda e: e["s"])).alias("turns"),
-    )
+    runs = runs.select("session_id", "run", "n", "low", "high", short.alias("t"))
+    # A summary keeps the first and last speaker, whether both occur, and whether a user message followed a user message.
+    for level in range(LEVELS - 1):
+        last = level == LEVELS - 2
+        up = F.lit(0).cast("long") if last else F.floor(F.col("run") / RUN)
+        turns = F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("run", "t"))), lambda e: e["t"]))
+        merged = runs.groupBy("session_id", up.alias("up")).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), turns.alias("t"))
+        runs = merged.select("session_id", F.col("up").alias("run"), "n", "low", "high", (F.col("t") if last else _shortened(F.col("t"))).alias("t"))
+    return runs.select("session_id", "n", "low", "high", F.col("t").alias("turns"))
+
+
+def _shortened(t: Column) -> Column:
+    """The summary of several summaries one after another."""
+    broken = t.rlike("X|UU")
+    marks = F.concat(F.when(broken, "X").otherwise("."), F.when(t.rlike("A|a"), "a").otherwise(""), F.when(t.rlike("U|u"), "u").otherwise(""))
+    return F.when(t == "", "").otherwise(F.concat(F.substring(t, 1, 1), marks, F.substring(t, -1, 1)))
 
 
 def _complete() -> Column:
@@ -89,35 +108,47 @@ def conversations(session_refs: DataFrame, messages: DataFrame) -> DataFrame:
     return rows.select("session_id", "seq", "m.*")
 
 
-def _paused(messages: DataFrame, channel: str, time: str) -> DataFrame:
-    """(channel, t, stretch, pause): the seconds since the message before in the channel; null for its first.
+def _paused(messages: DataFrame, channel: str, time: str, keep: list[str]) -> DataFrame:
+    """(channel, t, stretch, pause, ``keep``): the seconds since the time before in the channel; null for its first.
 
     A channel is cut into stretches of ``STRETCH_S`` seconds. Inside one the message before is the window's; the
     first of a stretch looks at the end of the last stretch, and only the stretches' ends meet per channel.
     """
-    rows = messages.where(F.col(channel).isNotNull() & F.col(time).isNotNull()).select(F.col(channel).alias("channel"), F.col(time).cast("timestamp").alias("t"))
+    rows = messages.where(F.col(channel).isNotNull() & F.col(time).isNotNull()).select(F.col(channel).alias("channel"), F.col(time).cast("timestamp").alias("t"), *[F.col(k).alias(f"_{k}") for k in keep])
     rows = rows.withColumn("stretch", F.floor(F.unix_seconds("t") / STRETCH_S))
     ends = rows.groupBy("channel", "stretch").agg(F.max("t").alias("end"))
     ends = ends.select("channel", "stretch", F.lag("end").over(Window.partitionBy("channel").orderBy("stretch")).alias("before"))
     near = F.lag("t").over(Window.partitionBy("channel", "stretch").orderBy("t"))
-    return rows.join(ends, ["channel", "stretch"]).select("channel", "t", "stretch", (F.col("t").cast("double") - F.coalesce(near, F.col("before")).cast("double")).alias("pause"))
+    return rows.join(ends, ["channel", "stretch"]).select("channel", "t", "stretch", (F.col("t").cast("double") - F.coalesce(near, F.col("before")).cast("double")).alias("pause"), *[f"_{k}" for k in keep])
 
 
 def calibrated_gap(messages: DataFrame, channel: str, time: str, quantile: float = 0.995, accuracy: int = 10_000) -> DataFrame:
     """(gap_s): the silence that only ``1 - quantile`` of all pauses inside a channel exceed; a one-row table, null without pauses."""
-    return _paused(messages, channel, time).agg(F.percentile_approx("pause", quantile, accuracy).alias("gap_s"))
+    return _paused(messages, channel, time, []).agg(F.percentile_approx("pause", quantile, accuracy).alias("gap_s"))
 
 
-def segments(messages: DataFrame, channel: str, time: str, quantile: float = 0.995) -> DataFrame:
-    """(channel, segment, started, ended, n): conversations of a channel without sessions, from 1, split where it was silent for longer than the calibrated gap.
+def segments(messages: DataFrame, channel: str, time: str, author: str, message: str, quantile: float = 0.995) -> DataFrame:
+    """(channel, segment, t, message, author, role, answered): the messages of channels without sessions, in conversations.
 
-    The number of a message's segment is a running count of breaks over stretches, so a channel with a third of
-    all rows is spread out. Rows with a null channel or time are left out; repeated rows count; messages of the
-    same time belong together; an empty table gives no segment.
+    A channel is split, from segment 1 on, where it was silent for longer than the calibrated gap; the number of a
+    message's segment is a running count of breaks over stretches. The role is ``opener`` for the author of a
+    segment's first message, ``replier`` for every other known one, null for an unknown one. A segment is
+    ``answered`` if someone other than its opener wrote in it. Rows with a null channel or time are left out; repeated rows count;
+    of messages of the same time the smallest id is the first; an empty table gives nothing.
     """
     gap = calibrated_gap(messages, channel, time, quantile).first()["gap_s"]
-    rows = _paused(messages, channel, time)
+    rows = _paused(messages, channel, time, [author, message])
     brk = F.when(F.col("pause").isNull() | (F.col("pause") > F.lit(gap if gap is not None else 0.0)), 1).otherwise(0)
-    rows = rows.groupBy("channel", "stretch", "t").agg(F.max(brk).alias("brk"), F.count("*").alias("k"))
-    numbered = running(rows, ["channel"], F.col("stretch"), ["t"], segment=F.col("brk"))
-    return numbered.groupBy("channel", "segment").agg(F.min("t").alias("started"), F.max("t").alias("ended"), F.sum("k").alias("n"))
+    times = rows.groupBy("channel", "stretch", "t").agg(F.max(brk).alias("brk"))
+    numbered = running(times, ["channel"], F.col("stretch"), ["t"], segment=F.col("brk")).select("channel", "stretch", "t", "segment")
+    rows = rows.join(numbered, ["channel", "stretch", "t"]).select("channel", "segment", "stretch", "t", F.col(f"_{message}").alias("message"), F.col(f"_{author}").alias("author"))
+    first = rows.groupBy("channel", "segment").agg(F.min_by("author", F.struct("t", "message")).alias("opener"), F.min("t").alias("began"))
+    others = rows.join(first, ["channel", "segment"]).withColumn("role", F.when(F.col("author").isNull(), None).when(F.col("author") == F.col("opener"), "opener").otherwise("replier"))
+    others = others.withColumn("role", F.when(F.col("opener").isNull(), None).otherwise(F.col("role")))
+    state = others.groupBy("channel", "segment").agg(F.coalesce(F.bool_or(F.col("role") == "replier"), F.lit(False)).alias("answered"))
+    return others.join(state, ["channel", "segment"]).select("channel", "segment", "t", "message", "author", "role", "answered")
+
+
+def threads(messages: DataFrame, channel: str, time: str, author: str, message: str, quantile: float = 0.995) -> DataFrame:
+    """(channel, segment, t, message, author, role) of ``segments``, without the conversations nobody else replied in."""
+    return segments(messages, channel, time, author, message, quantile).where("answered").drop("answered")

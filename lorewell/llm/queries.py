@@ -75,8 +75,8 @@ def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_threads(spark: SparkSession, d: str) -> DataFrame:
-    """Forum threads, which have no sessions, split where they were silent for long."""
-    return conversations.segments(table(spark, d, "documents"), "thread_id", "posted_at")
+    """Forum threads, which have no sessions, split where they were silent for long, with roles, without those nobody answered."""
+    return conversations.threads(table(spark, d, "documents"), "thread_id", "posted_at", "author", "doc_id")
 
 
 def _masked(spark: SparkSession, d: str) -> DataFrame:
@@ -99,6 +99,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How far the containers are from the target proportions, by source."""
+    return packing.mixture(packing.pack(table(spark, d, "documents")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Posts with the evaluation items they contain."""
     return contamination.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
@@ -128,7 +133,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_delta_pieces, p2_message_pieces, p3_found, p3_reopened, p4_found, p4_linked, p4_groups, p5_found, p5_conversations, p5_threads,
-        p6_found, p6_masked, p8_containers, p9_found, p9_passages, p9_kept, p10_found, p10_restored,
+        p6_found, p6_masked, p8_containers, p8_mixture, p9_found, p9_passages, p9_kept, p10_found, p10_restored,
     )
 }
 

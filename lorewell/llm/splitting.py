@@ -14,15 +14,15 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 3000, 200
-#: Lines of a delta that are handled together; the bound on what one task holds of an item.
-BLOCK_LINES = 4096
+#: Characters of an item that are merged together; the bound on what one task holds of it. Only an item beyond it is
+#: cut into blocks, at a boundary between messages, the strongest kind, whatever its number of lines.
+BLOCK_CHARS = 4_000_000
 #: Lines of the messages table under one join key.
 JOIN_LINES = 256
-CONTEXT_LINES = 8
 PARAGRAPHS, LINES, SENTENCES, WORDS = (re.compile(p) for p in (r"\n[ \t]*\n\s*", r"\n", r"[.!?…。！？][\"'”’)\]]*\s+", r"\s+"))
 CHARACTER, WORD, SENTENCE, LINE, PARAGRAPH, MESSAGE = range(6)
 
@@ -107,8 +107,7 @@ def _split_rows(limit: int, overlap: int):
         for b in batches:
             rows = []
             for key, block, contents, context in zip(b["key"], b["block"], b["contents"], b["context"], strict=True):
-                before = "".join(context) if context is not None else ""
-                for k, (text, repeated) in enumerate(pieces(list(contents), limit, overlap, before)):
+                for k, (text, repeated) in enumerate(pieces(list(contents), limit, overlap, context or "")):
                     rows.append((key, block, k, text, len(text), repeated))
             yield pd.DataFrame(rows, columns=["key", "block", "piece", "text", "n_chars", "n_repeated"])
 
@@ -120,39 +119,40 @@ def split_items(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
     return items.mapInPandas(_split_rows(limit, overlap), "key string, block int, piece int, text string, n_chars int, n_repeated int")
 
 
-def delta_items(deltas: DataFrame, messages: DataFrame) -> DataFrame:
-    """The messages of each delta as items of at most ``BLOCK_LINES`` lines: (session_id, delta_number, block, contents, context, total, several).
+def delta_items(deltas: DataFrame, messages: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """The messages of each delta of more than ``limit`` characters in blocks: (session_id, delta_number, block, contents, context, total).
 
-    A range join on keys: both sides carry the session and a run of ``JOIN_LINES`` lines, so a session with a
-    tenth of all rows is spread over many keys. Repeated deliveries (same session, seq and content) count once,
-    null content as empty. Repeated rows of a delta count once; rows with a null id or bound are left out, as
-    are empty ranges.
+    ``context`` is what came before the block, at most ``overlap`` characters. A range join on keys: both sides carry
+    the session and a run of ``JOIN_LINES`` lines, so a session with a tenth of all rows is spread over many keys, and
+    the content of a delta meets by run. Where a run begins in its delta is a running sum over lengths alone.
+    Repeated deliveries (same session, seq and content) count once, null content as empty. Repeated rows of a
+    delta count once; rows with a null id or bound are left out, as are empty ranges.
     """
-    d = deltas.select("session_id", "delta_number", "line_start", "line_end").where("session_id is not null and delta_number is not null and line_end > line_start").distinct()
+    keys = ["session_id", "delta_number", "line_start", "line_end"]
+    d = deltas.select(*keys).where("session_id is not null and delta_number is not null and line_end > line_start").distinct()
     d = d.select("*", F.explode(F.sequence(F.floor(F.col("line_start") / JOIN_LINES), F.floor((F.col("line_end") - 1) / JOIN_LINES))).alias("run"))
     m = messages.where("session_id is not null and content is not null and content <> ''").select("session_id", "line_no", "seq", "content", F.floor(F.col("line_no") / JOIN_LINES).alias("run"))
     met = d.join(m, ["session_id", "run"]).where("line_no >= line_start and line_no < line_end")
-    rel = F.col("line_no") - F.col("line_start")
-    block = F.floor(rel / BLOCK_LINES).cast("int")
-    # The last lines of a block also go to the next one, as what came before.
-    copies = F.when(F.pmod(rel, F.lit(BLOCK_LINES)) >= BLOCK_LINES - CONTEXT_LINES, F.array(F.struct(block.alias("block"), F.lit(False).alias("ctx")), F.struct((block + 1).alias("block"), F.lit(True).alias("ctx")))).otherwise(F.array(F.struct(block.alias("block"), F.lit(False).alias("ctx"))))
-    met = met.select("session_id", "delta_number", "line_start", "line_end", F.inline(copies), "seq", "content")
-    at = F.sort_array(F.collect_set(F.struct("ctx", "seq", "content")))
-    grouped = met.groupBy("session_id", "delta_number", "line_start", "line_end", "block").agg(at.alias("x"))
-    own = lambda flag: F.transform(F.filter("x", lambda e: e["ctx"] == F.lit(flag)), lambda e: e["content"])
-    out = grouped.select("session_id", "delta_number", "block", (F.col("line_end") - F.col("line_start") > BLOCK_LINES).alias("several"), own(False).alias("contents"), own(True).alias("context"))
-    return out.where(F.size("contents") > 0).withColumn("total", F.aggregate("contents", F.lit(0).cast("long"), lambda a, c: a + F.length(c)))
+    runs = met.groupBy(*keys, "run").agg(F.sort_array(F.collect_set(F.struct("seq", "content"))).alias("x")).select(*keys, "run", F.transform("x", lambda e: e["content"]).alias("contents"))
+    length = F.aggregate("contents", F.lit(0).cast("long"), lambda a, c: a + F.length(c))
+    sizes = runs.select(*keys, "run", length.alias("n"), F.right(F.array_join("contents", ""), F.lit(overlap)).alias("tail"))
+    delta = Window.partitionBy(*keys)
+    at = sizes.select("*", (F.sum("n").over(delta.orderBy("run")) - F.col("n")).alias("start"), F.sum("n").over(delta).alias("total")).where(F.col("total") > limit)
+    at = at.withColumn("block", F.floor(F.col("start") / BLOCK_CHARS).cast("int"))
+    grouped = runs.join(at.select(*keys, "run", "block", "total"), [*keys, "run"]).groupBy(*keys, "block", "total").agg(F.sort_array(F.collect_list(F.struct("run", "contents"))).alias("x"))
+    # Every run holds a character, so the last ``overlap`` runs are enough for the context of the next block.
+    ends = at.where(F.col("total") > BLOCK_CHARS).select(*keys, "run", "block", F.array_join(F.collect_list("tail").over(delta.orderBy("run").rowsBetween(-max(overlap, 1), -1)), "").alias("past"))
+    past = ends.groupBy(*keys, "block").agg(F.right(F.min_by("past", "run"), F.lit(overlap)).alias("context"))
+    out = grouped.join(past, [*keys, "block"], "left")
+    return out.select("session_id", "delta_number", "block", F.flatten(F.transform("x", lambda e: e["contents"])).alias("contents"), F.coalesce("context", F.lit("")).alias("context"), "total")
 
 
 def split_deltas(deltas: DataFrame, messages: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """The pieces of all deltas that are larger than ``limit``: (session_id, delta_number, block, piece, text, n_chars, n_repeated).
 
-    A delta within the limit is its own only piece; it is listed only if it spans several blocks.
+    Blocks are numbered from 0; all but the largest deltas have one.
     """
-    items = delta_items(deltas, messages)
-    # A delta of one block is decided here. Of one with several every block goes on, and the sum decides.
-    large = items.where(f"total > {limit} or several")
-    keyed = large.select(F.to_json(F.struct("session_id", "delta_number")).alias("key"), "block", "contents", "context")
+    keyed = delta_items(deltas, messages, limit, overlap).select(F.to_json(F.struct("session_id", "delta_number")).alias("key"), "block", "contents", "context")
     out = split_items(keyed, limit, overlap).withColumn("key", F.from_json("key", "session_id string, delta_number int"))
     return out.select("key.session_id", "key.delta_number", "block", "piece", "text", "n_chars", "n_repeated")
 
@@ -165,5 +165,5 @@ def oversized(pieces_: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def split_messages(messages: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """The pieces of single messages longer than ``limit``: (message_id, piece, text, n_chars, n_repeated). Every delivery is an item."""
-    long = messages.where(F.length("content") > limit).select(F.col("message_id").cast("string").alias("key"), F.lit(0).alias("block"), F.array("content").alias("contents"), F.expr("cast(array() as array<string>)").alias("context"))
+    long = messages.where(F.length("content") > limit).select(F.col("message_id").cast("string").alias("key"), F.lit(0).alias("block"), F.array("content").alias("contents"), F.lit("").alias("context"))
     return split_items(long, limit, overlap).select(F.col("key").cast("long").alias("message_id"), "piece", "text", "n_chars", "n_repeated")

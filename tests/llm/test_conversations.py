@@ -46,12 +46,28 @@ def test_runs_do_not_matter(spark, monkeypatch):
     assert {r.session_id: r.reason for r in C.judged(refs, messages(spark, rows)).collect()} == want
 
 
+def test_levels_of_summaries(spark, monkeypatch):
+    """One session much longer than a run of runs."""
+    monkeypatch.setattr(C, "RUN", 4)
+    rows = [("s", q, ("user", "ai")[q % 2], "x", None, None) for q in range(300)] + [("t", q, "user" if q in (200, 203) else "ai", "x", None, None) for q in range(300) if q not in (201, 202)]
+    rows += [("t", q, "system", "x", None, None) for q in (201, 202)]
+    refs = spark.createDataFrame([("s",), ("t",)], "id string")
+    assert {r.session_id: r.reason for r in C.judged(refs, messages(spark, rows)).collect()} == {"s": None, "t": "unanswered"}
+
+
 def test_segments(spark):
     t0 = datetime(2026, 1, 1)
-    rows = [("c", t0 + timedelta(minutes=k)) for k in range(500)] + [("c", t0 + timedelta(hours=40, minutes=k)) for k in range(50)] + [("c", t0), ("d", t0), (None, t0), ("d", None)]
-    df = spark.createDataFrame(rows, "room string, at timestamp")
+    rows = [("c", t0 + timedelta(minutes=k), "ab"[k % 2], k) for k in range(500)] + [("c", t0 + timedelta(hours=40, minutes=k), "b", 1000 + k) for k in range(50)]
+    rows += [("c", t0, "a", 0), ("d", t0, "x", 7), ("d", t0 + timedelta(seconds=5), "y", 8), ("d", t0 + timedelta(seconds=6), None, 9), (None, t0, "a", 1), ("d", None, "a", 2), ("e", t0, None, 3), ("e", t0, "z", 4)]
+    df = spark.createDataFrame(rows, "room string, at timestamp, who string, id long")
     assert C.calibrated_gap(df, "room", "at", 0.9).first().gap_s == 60.0
-    got = sorted((r.channel, r.segment, r.n, r.started, r.ended) for r in C.segments(df, "room", "at", 0.9).collect())
-    end = timedelta(minutes=49)
-    assert got == [("c", 1, 501, t0, t0 + timedelta(minutes=499)), ("c", 2, 50, t0 + timedelta(hours=40), t0 + timedelta(hours=40) + end), ("d", 1, 1, t0, t0)]
-    assert C.segments(df.limit(0), "room", "at").count() == 0
+    got = C.segments(df, "room", "at", "who", "id", 0.9).collect()
+    count = {}
+    for r in got:
+        count[r.channel, r.segment, r.role, r.answered] = count.get((r.channel, r.segment, r.role, r.answered), 0) + 1
+    assert count == {
+        ("c", 1, "opener", True): 251, ("c", 1, "replier", True): 250, ("c", 2, "opener", False): 50,
+        ("d", 1, "opener", True): 1, ("d", 1, "replier", True): 1, ("d", 1, None, True): 1, ("e", 1, None, False): 2,
+    }
+    assert {(r.channel, r.segment) for r in C.threads(df, "room", "at", "who", "id", 0.9).collect()} == {("c", 1), ("d", 1)}
+    assert C.segments(df.limit(0), "room", "at", "who", "id").count() == 0

@@ -60,6 +60,25 @@ def test_pack(spark):
     assert P.pack(docs.limit(0), 512).count() == 0
 
 
+def test_deficits_go_on():
+    """A source that had too little in one call leads in the next, and targets are kept while sources last."""
+    items = [("a", 10)] * 300 + [("b", 10)] * 300
+    boxes, owed = P.fill(items, 100, {"a": 500.0}, {"a": 1, "b": 1})
+    first = [sum(items[k][0] == "a" for k in b) for b in boxes[:12]]
+    assert first[0] == 10 and sum(first) == 85 and abs(sum(owed.values()) - 500) < 1e-6
+    boxes, _ = P.fill(items, 100, None, {"a": 3, "b": 1})
+    assert all(abs(sum(items[k][0] == "a" for k in b) - 7.5) <= 1 for b in boxes[:30])
+
+
+def test_mixture(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join(["tok"] * rng.randint(5, 60)), "abc"[min(2, rng.randint(0, 5))]) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for shard in (P.SHARD_TOKENS, 6000):
+        got = P.mixture(P.pack(docs, 256, shard_tokens=shard)).collect()
+        assert {r.source for r in got} == {"a", "b", "c"} and abs(sum(r.mean_share for r in got) - 1) < 1e-4 and all(r.deviation < 0.3 for r in got)
+
+
 # --- evaluation passages
 
 

@@ -58,18 +58,30 @@ def test_deltas(spark):
     assert S.split_messages(messages(spark, rows)).count() == 0
 
 
+def joined(rows, limit, overlap):
+    """The fresh text of the pieces in their order, after checking sizes and overlaps."""
+    text = ""
+    for r in rows:
+        assert len(r.text) <= limit and (r.n_repeated == 0 or text.endswith(r.text[: r.n_repeated]))
+        text += r.text[r.n_repeated :]
+    assert all(r.n_repeated == overlap for r in rows[1:])
+    return text
+
+
 def test_delta_of_several_blocks(spark, monkeypatch):
-    """Totals and texts do not depend on how many lines are handled together."""
-    monkeypatch.setattr(S, "BLOCK_LINES", 16)
-    monkeypatch.setattr(S, "CONTEXT_LINES", 4)
-    rows = [("s", q, "user", f"{q:03d}" * 30, None, None) for q in range(60)]
+    monkeypatch.setattr(S, "BLOCK_CHARS", 3000)
+    monkeypatch.setattr(S, "JOIN_LINES", 4)
+    rows = [("s", q, "user", f"{q:03d}" * (1 if 20 <= q < 30 else 30), None, None) for q in range(60)]
     d = spark.createDataFrame([("s", 1, 0, 60), ("s", 2, 10, 44), ("s", 3, 0, 17)], "session_id string, delta_number int, line_start long, line_end long")
     p = S.split_deltas(d, messages(spark, rows), 700, 50).orderBy("delta_number", "block", "piece").collect()
+    assert {r.block for r in p} > {0}
     for n, a, b in ((1, 0, 60), (2, 10, 44), (3, 0, 17)):
-        mine = [r for r in p if r.delta_number == n]
-        text = ""
-        for r in mine:
-            assert len(r.text) <= 700 and (r.n_repeated == 0 or text.endswith(r.text[: r.n_repeated]))
-            text += r.text[r.n_repeated :]
-        assert text == "".join(f"{q:03d}" * 30 for q in range(a, b))
-        assert all(r.n_repeated > 0 for r in mine[1:])
+        assert joined([r for r in p if r.delta_number == n], 700, 50) == "".join(x[3] for x in rows[a:b])
+
+
+def test_the_number_of_lines_does_not_matter(spark):
+    """Many short lines are cut like the same messages on few lines, and a small delta of many lines is not cut at all."""
+    rows = [("a", q, "user", f"m{q % 10}", None, None) for q in range(5000)] + [("c", q, "user", "x" if q % 5 == 0 else "", None, None) for q in range(5000)]
+    d = spark.createDataFrame([("a", 1, 0, 5000), ("c", 1, 0, 5000)], "session_id string, delta_number int, line_start long, line_end long")
+    got = S.split_deltas(d, messages(spark, rows)).orderBy("block", "piece").collect()
+    assert [(r.text, r.n_repeated) for r in got] == S.pieces([r[3] for r in rows[:5000]]) and {r.session_id for r in got} == {"a"}
