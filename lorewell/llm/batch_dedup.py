@@ -106,9 +106,10 @@ class History:
     @staticmethod
     def create(spark: SparkSession, path: str, accepted: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None) -> History:
         """A new history of (id, words), all accepted as they are. The number of buckets follows their number unless it is given."""
-        rows = cut(accepted.select("id", F.array_sort("words").alias("words")).where("id is not null and size(words) > 0").dropDuplicates(["id"]), "history-rows")
-        sets = cut(rows.groupBy("words").agg(F.min("id").alias("class_id")).select("class_id", "words"), "history-sets")
-        members = rows.join(sets, "words").select("class_id", "id")
+        words = accepted.select("id", F.array_sort("words").alias("words")).where("id is not null and size(words) > 0").dropDuplicates(["id"])
+        rows = cut(words.select("*", W.set_key("words").alias("key")), "history-rows")
+        classes = cut(rows.groupBy("key").agg(F.min("id").alias("class_id"), F.first("words").alias("words")), "history-sets")
+        sets, members = classes.select("class_id", "words"), rows.select("id", "key").join(classes.select("key", "class_id"), "key").select("class_id", "id")
         n = sets.count()
         History._write(spark, path, 0, 0, sets, members, n, buckets or max(8, -(-n * TABLES // BUCKET)), threshold)
         return History(spark, path)
@@ -159,10 +160,11 @@ class History:
         Of records of the batch with the same words only the first can be accepted, so it stands for them.
         """
         one = batch.where("id is not null").groupBy("id").agg(F.min_by("words", "turn").alias("words"), F.min("turn").alias("turn"))
-        rows = cut(one.select("id", F.array_sort("words").alias("words"), F.struct("turn", "id").alias("at")).where("size(words) > 0"), "batch")
-        lead = rows.groupBy("words").agg(F.min("at").alias("lead_at"))
-        sets = cut(lead.select(F.col("lead_at.id").alias("id"), "words", "lead_at"), "batch-sets")
-        mine = cut(rows.join(sets.select(F.col("id").alias("lead"), "words"), "words").select("id", "lead", "at"), "batch-members")
+        words = one.select("id", F.array_sort("words").alias("words"), F.struct("turn", "id").alias("at")).where("size(words) > 0")
+        rows = cut(words.select("*", W.set_key("words").alias("key")), "batch")
+        lead = rows.groupBy("key").agg(F.min("at").alias("lead_at"), F.first("words").alias("words"))
+        sets = cut(lead.select(F.col("lead_at.id").alias("id"), "words", "lead_at", "key"), "batch-sets")
+        mine = cut(rows.select("id", "at", "key").join(sets.select(F.col("id").alias("lead"), "key"), "key").select("id", "lead", "at"), "batch-members")
         old, links = self._met(sets.select("id", "words"))
         at = sets.select("id", "lead_at")
         placed = links.join(at.select(F.col("id").alias("new_id"), F.col("lead_at").alias("new_at")), "new_id").join(at.select(F.col("id").alias("old_id"), F.col("lead_at").alias("old_at")), "old_id")

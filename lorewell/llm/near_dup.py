@@ -124,7 +124,7 @@ def _bounds(t: float):
 
 
 class NearDuplicates:
-    """``classes`` (class_id, words), ``members`` (id, words) and ``pairs`` (class_a, class_b, similarity).
+    """``classes`` (key, class_id, words), ``members`` (id, key) and ``pairs`` (class_a, class_b, similarity).
 
     Records without any word form no class and are similar to nothing; null texts count as empty; rows that repeat
     an id count once each, by their texts; a null id is dropped. Other columns of the input do not matter.
@@ -133,9 +133,9 @@ class NearDuplicates:
     def __init__(self, records: DataFrame, id_col: str, texts: list[Column], threshold: float = THRESHOLD, bucket: int = BUCKET, part: int = B.PART):
         self.threshold, self.bucket, self.part = threshold, bucket, part
         sets = records.select(F.col(id_col).cast("string").alias("id"), F.array_sort(W.words(*texts)).alias("words")).where("id is not null and size(words) > 0")
-        # The set itself is the grouping key. Two sets of equal hash stay apart.
-        self.members = cut(sets.distinct(), "near-members")
-        self.classes = cut(self.members.groupBy("words").agg(F.min("id").alias("class_id")).select("class_id", "words"), "near-classes")
+        rows = cut(sets.select("*", W.set_key("words").alias("key")), "near-rows")
+        self.members = rows.select("id", "key").distinct()
+        self.classes = cut(rows.groupBy("key").agg(F.min("id").alias("class_id"), F.first("words").alias("words")), "near-classes")
         self.pairs = cut(self._pairs(), "near-pairs")
 
     def _pairs(self) -> DataFrame:
@@ -155,7 +155,7 @@ class NearDuplicates:
 
     def membership(self) -> DataFrame:
         """(id, class_id) of every record that has a word."""
-        return self.members.join(self.classes, "words").select("id", "class_id")
+        return self.members.join(self.classes.select("key", "class_id"), "key").select("id", "class_id")
 
     def all_pairs(self) -> DataFrame:
         """(id_a, id_b, similarity), smaller id first: pairs of records, copies included."""

@@ -20,6 +20,11 @@ def hashes(words_: str | Column) -> Column:
     return F.transform(words_, lambda w: F.xxhash64(w))
 
 
+def set_key(words_: str) -> Column:
+    """128 bits that stand for a sorted set of words, so that equal sets meet without their texts being shuffled."""
+    return F.unhex(F.md5(F.concat_ws(" ", words_)))
+
+
 def frequencies(sets: DataFrame, column: str = "hs") -> np.ndarray:
     """Sets that hold a word of each cell, over all rows: an array of ``CELLS`` counts, at least the frequency of every word in the cell.
 
