@@ -5,18 +5,22 @@ Garbled sequences are precomputed for all pairs of encodings and matched with on
 * every character of the alphabets below, encoded as UTF-8 (once or twice) and read in a single-byte
   encoding, is a sequence of two or more characters that correct text does not hold;
 * frequent words of several languages, encoded in one single-byte encoding and read in another, matched as
-  whole tokens. They tell the pair, with which the garbled tokens of the same line are then restored.
-
-Beside these, a token is garbled whose letters are interrupted by symbols that single-byte mix-ups put in
-place of letters, or that consists of accented Latin letters alone, as Cyrillic read as Latin does.
-Replacement characters show a loss that cannot be undone. Only matched spans are replaced; correct text
-beside them stays untouched.
+  whole tokens;
+* the marks that a letter becomes in a single-byte mix-up where it stands for no letter, matched between
+  letters. One such mark is no sign, as correct text has a mark between letters too (a formula, a bullet, a
+  trade mark). A line counts if some pair of encodings explains at least ``MARKS`` different marks in it, all as
+  letters of one alphabet and of fitting case, and leaves no mark of another kind inside a word.
+
+The words and marks of a line tell the pair, with which its garbled tokens are restored. Replacement characters
+show a loss that cannot be undone. Only matched spans are replaced; correct text beside them stays untouched.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,12 +44,12 @@ FREQUENT = {
     "central": "się są że też już być był była było będzie będą może także więc przez proszę dziękuję można który która które gdyż jeśli żeby nią oraz ją tę za świat człowiek książka žádný být není také které může více když až jsou říká příliš děkuji són től hogy és így még már több között után",
     "western": "où été être même très après déjà à là ça français où voilà élève père mère für über können müssen möchte schön groß straße natürlich während später también más está están qué él día año señor aquí así después según niño español não são também você está até é então coração você però così perché più già città år på är för också då får så också här även först älskar",
 }
-SYMBOLS = "¡¢£¤¥¦§¨©ª«¬®¯°±²³´¶¸¹º»¼½¾¿×÷‚ƒ„…†‡ˆ‰‹Œ•˜™›Ÿ─│┌┐└┘├┤┬┴┼═║╒╓╔╕╖╗╘╙╚╛╜╝╞╟╠╡╢╣╤╥╦╧╨╩╪╫╬▀▄█▌▐░▒▓■⌐⌠⌡₧"
 # Blanks that are not ASCII may be garbled letters, so they do not end a token.
 _TOKEN = re.compile(r"[^ \t\n\r\f\v!\"#$%&()*+,/:;<=>?@\[\\\]^_`{|}~-]+")
-_SYMBOL_INSIDE = re.compile(r"(?<=[^\W\d_])[" + re.escape(SYMBOLS) + r"\x80-\x9f]+(?=[^\W\d_])")
-_LATIN_RUN = re.compile(r"^[À-ÿ¸¨]{3,}\.?$")
-_MIXED = re.compile(r"[A-Za-z][Ѐ-ӿΑ-Ωα-ω]+[A-Za-z]|[Ѐ-ӿ][╤╥╦╨╩║═]+|[╤╥╦╨╩║═]+[Ѐ-ӿ]|[a-z]{2,}[ΓΘΣΦΩδφεατπσμ∩ⁿ]+[a-z]")
+# Signs that correct text sets between or around words.
+TYPOGRAPHIC = "’‘“”„‚‹›«»–—…•·™®©°"
+#: Different marks that one pair of encodings must explain in a line.
+MARKS = 2
 NON_ASCII = re.compile(r"[^\x00-\x7f]")
 LOST = "�"
 
@@ -127,12 +131,35 @@ def garbled_words() -> dict[str, tuple[str, str]]:
     return out
 
 
+@functools.cache
+def marks() -> dict[str, dict[tuple[str, str], str]]:
+    """Garbled mark -> (true encoding, wrong encoding) -> letter, for all single-byte pairs of a Latin alphabet.
+
+    A mark is no letter, or a letter of another script than the one it stands for.
+    """
+    out: dict[str, dict[tuple[str, str], str]] = {}
+    letters = {"central": LATIN + EXTENDED, "western": LATIN}
+    for group, alphabet in letters.items():
+        true, wrong = SINGLE_BYTE[group]
+        for t in true:
+            for w in (x for x in wrong if x != t):
+                for c in alphabet:
+                    if not c.isalpha() or c in "ªº" or (data := _write(c, t)) is None:
+                        continue
+                    g = _read(data, w)
+                    if g and len(g) == 1 and g != c and not g.isascii() and not (g.isalpha() and "LATIN" in unicodedata.name(g, "")):
+                        out.setdefault(g, {})[t, w] = c
+    return out
+
+
 @functools.cache
 def automaton():
-    """All sequences and words in one Aho-Corasick automaton; words carry their pair of encodings."""
+    """All sequences, words and marks in one Aho-Corasick automaton; words carry their pair of encodings."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
+    for text in marks():
+        a.add_word(text, ("mark", text, None, None))
     for text, (t, w) in garbled_words().items():
         a.add_word(text, ("word", text, t, w))
     for text, c in garbled_sequences().items():
@@ -141,13 +168,52 @@ def automaton():
     return a
 
 
-def _spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, str]]]:
-    """Matched sequences (start, end, original), longest first and disjoint, and matched words (start, end, true, wrong)."""
-    chars, words = [], []
+def _marked(line: list[tuple[int, int, str]], found: dict[int, str], other: tuple[str, str] | None) -> tuple[str, str] | None:
+    """The pair of encodings that explains the marks inside the words (start, end, text) of a line, or None.
+
+    ``found``: places of matched marks; of equals the pair of the ``other`` lines, then one of the common Windows
+    encodings, is taken. A mark counts between letters of a word of at least four characters;
+    typographic signs, which stand between words of correct text as well, do not count, but must be explained.
+    """
+    inside = [(s, k, [(p - s, found[p]) for p in range(s, e) if p in found]) for s, e, k in line if e - s >= 4]
+    inside = [(s, k, [g for at, g in there if _between_letters(k, at, found, s)]) for s, k, there in inside]
+    inside = [(s, k, there) for s, k, there in inside if any(g not in TYPOGRAPHIC for g in there)]
+    seen = {g for _, _, there in inside for g in there if g not in TYPOGRAPHIC}
+    if len(seen) < MARKS:
+        return None
+    scores: dict[tuple[str, str], int] = {}
+    for pair in sorted({q for g in seen for q in marks()[g]}):
+        explained = {g for g in seen if pair in marks()[g]}
+        if len(explained) < MARKS:
+            continue
+        words = [_convert(k.strip(TYPOGRAPHIC + "."), *pair) for _, k, there in inside if explained & set(there)]
+        if all(w is not None and _is_word(w) for w in words):
+            scores[pair] = len(explained)
+    return max(scores, key=lambda q: (scores[q], q == other, q[0].startswith("cp125"), q)) if scores else None
+
+
+def _between_letters(token: str, at: int, found: dict[int, str], start: int) -> bool:
+    """Whether a place has a plain letter on one side, and a plain letter or another mark on the other; a mark may also begin or end the word."""
+    plain = lambda k: 0 <= k < len(token) and token[k].isascii() and token[k].isalpha()
+    other = lambda k: 0 <= k < len(token) and (start + k) in found or k < 0 or k >= len(token)
+    return plain(at - 1) and (plain(at + 1) or other(at + 1)) or plain(at + 1) and other(at - 1)
+
+
+def _is_word(text: str) -> bool:
+    """Letters of one case pattern: lower, capitalised or upper; an apostrophe or hyphen may stand inside."""
+    parts = [p for p in re.split(r"['’-]", text) if p]
+    return bool(parts) and all(p.isalpha() and (p.islower() or p.isupper() or p[0].isupper() and p[1:].islower()) for p in parts)
+
+
+def _spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, str]], dict[int, str]]:
+    """Matched sequences (start, end, original), longest first and disjoint, matched words (start, end, true, wrong), and places of marks."""
+    chars, words, found = [], [], {}
     for end, (kind, pattern, x, y) in automaton().iter(text):
         start = end + 1 - len(pattern)
         if kind == "chars":
             chars.append((start, end + 1, x))
+        elif kind == "mark":
+            found[start] = pattern
         else:
             words.append((start, end + 1, x, y))
     runs, pairs = [(m.start(), m.end()) for m in _cyrillic_run().finditer(text)], _cyrillic_pairs()
@@ -162,7 +228,7 @@ def _spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int,
         if s[0] >= at:
             kept.append(s)
             at = s[1]
-    return kept, words
+    return kept, words, found
 
 
 def _convert(token: str, true: str, wrong: str) -> str | None:
@@ -183,42 +249,45 @@ def repair(text: str | None) -> tuple[bool, str | None, bool]:
     """
     if not text or text.isascii():
         return False, text, True
-    chars, words = _spans(text)
+    chars, words, found = _spans(text)
     tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text) if NON_ASCII.search(m.group())]
     inside_chars = set()
     for s, e, _ in chars:
         inside_chars.update(range(s, e))
+    tokens = [t for t in tokens if not any(p in inside_chars for p in range(t[0], t[1]))]
     starts = {s: e for s, e, _ in tokens}
     # A word counts where it is a whole token, give or take a mark at its end.
-    whole = [(s, e, t, w) for s, e, t, w in words if s in starts and text[e : starts[s]].strip(".'’…»“”!?") == "" and s not in inside_chars]
-    odd = [
-        (s, e, k) for s, e, k in tokens
-        if s not in inside_chars and not any(p in inside_chars for p in range(s, e))
-        and (_SYMBOL_INSIDE.search(k) or _LATIN_RUN.match(k) or _MIXED.search(k))
-    ]
+    whole = [(s, e, t, w) for s, e, t, w in words if s in starts and text[e : starts[s]].strip(".'’…»“”!?") == ""]
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    lines: dict[int, list[tuple[int, int, str]]] = {}
+    for t in tokens:
+        lines.setdefault(bisect.bisect(breaks, t[0]), []).append(t)
+    votes: dict[tuple[str, str], int] = {}
+    named: dict[int, dict[tuple[str, str], int]] = {}
+    for s, _, t, w in whole:
+        votes[t, w] = votes.get((t, w), 0) + 1
+        mine = named.setdefault(bisect.bisect(breaks, s), {})
+        mine[t, w] = mine.get((t, w), 0) + 1
+    # Pairs told by frequent words hold for the whole text, as its garbled lines come from one mix-up; marks speak for their line.
+    best = max(votes, key=lambda p: (votes[p], p)) if votes else None
+    pair_of = {k: best for k in named}
+    for k, line in lines.items():
+        if k not in pair_of and found and (pair := _marked(line, found, best)):
+            pair_of[k] = pair
     lost = LOST in text
-    if not (chars or whole or odd or lost):
+    if not (chars or pair_of or lost):
         return False, text, True
-    # Single-byte pairs: the pair named by most words of a line restores the garbled tokens of that line.
     edits = list(chars)
     complete = not lost
-    if whole or odd:
-        pairs: dict[tuple[str, str], int] = {}
-        for _, _, t, w in whole:
-            pairs[t, w] = pairs.get((t, w), 0) + 1
-        best = max(pairs, key=lambda p: (pairs[p], p)) if pairs else None
-        marked = {s for s, _, _, _ in whole} | {s for s, _, _ in odd}
-        lines = {text.count("\n", 0, s) for s in marked} if best else set()
-        for s, e, k in tokens:
-            if any(p in inside_chars for p in range(s, e)):
-                continue
-            if best and text.count("\n", 0, s) in lines:
-                fixed = _convert(k, *best)
-                if fixed is not None and fixed != k and not _SYMBOL_INSIDE.search(fixed):
-                    edits.append((s, e, fixed))
-                    continue
-            if s in marked:
-                complete = False
+    marked = {s for s, _, _, _ in whole}
+    for k, pair in pair_of.items():
+        for s, e, token in lines[k]:
+            fixed = _convert(token, *pair)
+            # A word keeps the punctuation that the pair would take for letters.
+            if fixed is None or not any(_is_word(x) for x in re.split(r"[^\w'’-]+", fixed) if x):
+                complete = complete and s not in marked
+            elif fixed != token:
+                edits.append((s, e, fixed))
     out, at = [], 0
     for s, e, c in sorted(edits):
         if s >= at:
