@@ -81,7 +81,7 @@ def p5_threads(spark: SparkSession, d: str) -> DataFrame:
 
 def _masked(spark: SparkSession, d: str) -> DataFrame:
     texts = personal.project_texts(table(spark, d, "messages"), table(spark, d, "experiences"))
-    return personal.masked(texts, personal.detector(table(spark, d, "people")))
+    return personal.masked(texts, table(spark, d, "people"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
