@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.store import cut
 
-MAX_ROUNDS = 200
+
+
+def _checksum(edges: DataFrame) -> tuple:
+    """Equal for equal sets of links: their number and two sums of hashes."""
+    h = [F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(38,0)")) for k in range(2)]
+    return tuple(edges.agg(F.count("*"), *h).first())
 
 
 def components(links: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
@@ -19,7 +24,8 @@ def components(links: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     only its minimum is aggregated. Every round's links are written to the shared folder.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct(), "links")
-    for _ in range(MAX_ROUNDS):
+    before = _checksum(edges)
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -27,28 +33,40 @@ def components(links: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
         small = large.join(lower, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         new = cut(small, "links")
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
+        now = _checksum(new)
+        if now == before:
             break
-        edges = new
-    else:
-        raise RuntimeError(f"components need more than {MAX_ROUNDS} rounds")
+        edges, before = new, now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
-def merge_plan(records: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(id, component, role, primary_id): the record of a cluster that stays, and those merged into it.
+def clustered(records: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component): every record with the smallest id it is linked to over any number of links; one without links is its own."""
+    found = components(links.select("id_a", "id_b"))
+    return records.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
-    The longest recommendation stays, of equals the most confident, then the smallest id. Aggregated, not ranked
-    in one window, so a large cluster is not gathered.
-    """
-    rows = clusters.join(records.select("id", F.length(F.coalesce("recommendation", F.lit(""))).alias("n"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")), "id")
-    best = rows.groupBy("component").agg(F.max(F.struct("n", "confidence")).alias("top"))
-    first = rows.join(best, "component").where("n = top.n and confidence = top.confidence").groupBy("component").agg(F.min("id").alias("primary_id"))
-    return rows.join(first, "component").select("id", "component", F.when(F.col("id") == F.col("primary_id"), "keep").otherwise("merge").alias("role"), "primary_id")
 
+#: Arrays that a merge unites.
+UNITED = ("source_episode_ids", "evidence", "apply_when", "triggers")
 
-def merged_values(records: DataFrame, plan: DataFrame, column: str) -> DataFrame:
-    """(primary_id, place, value): the ordered union of an array column over each cluster, the primary's values first."""
-    v = plan.join(records.select("id", F.posexplode(column).alias("at", "value")), "id").where("value is not null")
-    firsts = v.groupBy("primary_id", "value").agg(F.min(F.struct((F.col("role") != "keep").alias("later"), "id", "at")).alias("first"))
-    return firsts.select("primary_id", F.row_number().over(Window.partitionBy("primary_id").orderBy("first")).alias("place"), "value")
+
+def merge_plan(records: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(id, component, primary_id, role, status, the arrays of ``UNITED``): what a merge makes of the clusters of more than one record.
+
+    The longest recommendation stays, of equals the most confident, then the smallest id; it keeps its status and
+    gets the ordered union of each array, its own values first, then those of the others in the same order. The
+    others become deprecated and keep their arrays. Aggregated, not ranked in one window, so a large cluster is
+    not gathered; only a union itself, which is one record's field, is one row.
+    """
+    order = F.struct((-F.length(F.coalesce("recommendation", F.lit("")))).alias("n"), (-F.coalesce("confidence", F.lit(0.0))).alias("c"), "id")
+    rows = clusters.join(records.select("id", "status", order.alias("at"), *UNITED), "id")
+    heads = rows.groupBy("component").agg(F.min("at").alias("head"), F.count("*").alias("k")).where("k > 1").select("component", F.col("head.id").alias("primary_id"))
+    rows = rows.join(heads, "component")
+    out = rows.withColumn("first", F.col("id") == F.col("primary_id"))
+    for column in UNITED:
+        values = rows.select("primary_id", "at", F.posexplode(column).alias("k", "v")).where("v is not null")
+        firsts = values.groupBy("primary_id", "v").agg(F.min(F.struct("at", "k")).alias("place"))
+        united = firsts.groupBy("primary_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "v"))), lambda x: x["v"]).alias("united"))
+        none = F.expr("cast(array() as array<string>)")
+        out = out.join(united, "primary_id", "left").withColumn(column, F.when(F.col("first"), F.coalesce("united", none)).otherwise(F.coalesce(column, none))).drop("united")
+    return out.select("id", "component", "primary_id", F.when(F.col("first"), "keep").otherwise("merge").alias("role"), F.when(F.col("first"), F.col("status")).otherwise("deprecated").alias("status"), *UNITED)

@@ -64,3 +64,9 @@ def candidates(answers: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
         "id", "place", *[c[k].alias(k) for k in ("title", "problem", "recommendation")], _listed(c["triggers"]).alias("triggers"), _listed(c["applyWhen"]).alias("apply_when"),
         F.coalesce(c["confidence"].try_cast("double"), F.lit(0.5)).alias("confidence"),
     )
+
+
+def as_records(found: DataFrame) -> DataFrame:
+    """Candidates as new records: version 1, active, global unless a scope is given, confidence 0.5 unless there is one. Other columns stay."""
+    scope = F.coalesce(F.nullif(F.col("scope"), F.lit("")), F.lit("global")) if "scope" in found.columns else F.lit("global")
+    return found.withColumns({"scope": scope, "version": F.lit(1), "status": F.lit("active"), "confidence": F.coalesce("confidence", F.lit(0.5))})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,9 +58,9 @@ def haystack(*columns: str) -> Column:
 
 
 def search_any(df: DataFrame, query: str, columns: list[str]) -> DataFrame:
-    """Rows that hold any of the query's words; an empty query holds for all."""
+    """Rows that hold any of the query's words, which white space parts; an empty query, or white space at an end, holds for all."""
     found = F.lit(False)
-    for word in query.lower().split(" ") if query else [""]:
+    for word in re.split(r"\s+", query.lower()):
         found = found | F.contains(haystack(*columns), F.lit(word))
     return df.where(found)
 

@@ -13,22 +13,74 @@ def _joined(group: list[str], rows: DataFrame, order: str, line: Column, name: s
     return rows.groupBy(*group).agg(F.array_join(F.transform(at, lambda x: x["line"]), "\n").alias(name))
 
 
-def prompt_markdown(ranked: DataFrame, experiences: DataFrame) -> DataFrame:
-    """(task_id, markdown): the ranked experiences of each task (task_id, rank, experience_id) as a numbered list."""
-    rows = ranked.join(experiences.select(F.col("id").alias("experience_id"), "title", "recommendation", "apply_when", "avoid"), "experience_id")
-    listed = lambda head, c: F.when(F.size(T.empty_if_null(F.col(c))) > 0, F.concat(F.lit(f"\n   {head}: "), F.array_join(F.col(c), "; "))).otherwise("")
-    line = F.concat(F.col("rank").cast("string"), F.lit(". **"), F.coalesce("title", F.lit("")), F.lit("**"), listed("When", "apply_when"), F.lit("\n   Do: "), F.coalesce("recommendation", F.lit("")), listed("Avoid", "avoid"))
-    return _joined(["task_id"], rows, "rank", line, "body").select("task_id", F.concat(F.lit("## Relevant Past Experiences\n"), "body").alias("markdown"))
+def _listed(column: str) -> Column:
+    return F.array_join(T.empty_if_null(F.col(column)), "; ")
 
 
-def prompt_xml(ranked: DataFrame, experiences: DataFrame) -> DataFrame:
-    """(task_id, xml): the same as elements, with escaped texts."""
-    rows = ranked.join(experiences.select(F.col("id").alias("experience_id"), "title", "recommendation"), "experience_id")
-    line = F.concat(
-        F.lit('  <experience id="'), T.xml_escaped(F.col("experience_id")), F.lit('" title="'), T.xml_escaped(F.coalesce("title", F.lit(""))), F.lit('">'),
-        T.xml_escaped(F.coalesce("recommendation", F.lit(""))), F.lit("</experience>"),
-    )
-    return _joined(["task_id"], rows, "rank", line, "body").select("task_id", F.concat(F.lit("<context>\n"), "body", F.lit("\n</context>")).alias("xml"))
+def _prompt(tasks: DataFrame, ranked: DataFrame, experiences: DataFrame, skills: DataFrame | None, part: Column, entry: Column) -> DataFrame:
+    """(task_id, parts, entries): the texts of each task's ranked experiences, and those of the skills, in their order; null without any."""
+    rows = ranked.join(experiences.select(F.col("id").alias("experience_id"), "title", "recommendation", "apply_when", "avoid"), "experience_id")
+    parts = rows.groupBy("task_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", part.alias("text")))), lambda x: x["text"]).alias("parts"))
+    out = tasks.select("task_id").distinct().join(parts, "task_id", "left")
+    if skills is None:
+        return out.withColumn("entries", F.expr("cast(null as array<string>)"))
+    # One row, of the skills that a prompt may show.
+    shown = skills.select("id", entry.alias("text")).groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]).alias("entries"))
+    return out.join(shown.withColumn("entries", F.when(F.size("entries") > 0, F.col("entries"))), F.lit(True), "left")
+
+
+def prompt_markdown(tasks: DataFrame, ranked: DataFrame, experiences: DataFrame, skills: DataFrame | None = None) -> DataFrame:
+    """(task_id, markdown): the ranked experiences (task_id, rank, experience_id) and the skills (id, name, description) as a prompt block; empty without either."""
+    title = F.concat(F.lit("### "), F.col("rank").cast("string"), F.lit(". "), F.coalesce("title", F.lit("")), F.lit("\n"))
+    avoid = F.when(F.size(T.empty_if_null(F.col("avoid"))) > 0, F.concat(F.lit("**Not:** "), _listed("avoid"), F.lit("\n")))
+    part = F.concat_ws("\n", title, F.concat(F.lit("**When:** "), _listed("apply_when"), F.lit("\n")), F.concat(F.lit("**Do:** "), F.coalesce("recommendation", F.lit("")), F.lit("\n")), avoid)
+    entry = F.concat(F.lit("- **"), F.coalesce("name", F.lit("")), F.lit("**: "), F.coalesce("description", F.lit("")))
+    rows = _prompt(tasks, ranked, experiences, skills, part, entry)
+    block = lambda head, c, end: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"## {head}\n\n"), F.array_join(F.col(c), "\n"), F.lit(end)))
+    return rows.select("task_id", F.concat_ws("\n", block("Relevant Past Experiences", "parts", ""), block("Available Skills", "entries", "\n")).alias("markdown"))
+
+
+def prompt_xml(tasks: DataFrame, ranked: DataFrame, experiences: DataFrame, skills: DataFrame | None = None, root: str = "context") -> DataFrame:
+    """(task_id, xml): the same as elements, with escaped texts; the root element is always there."""
+    esc = lambda c: T.xml_escaped(F.coalesce(c, F.lit("")))
+    element = lambda name, c: F.concat(F.lit(f"      <{name}>"), esc(c), F.lit(f"</{name}>"))
+    avoid = F.when(F.size(T.empty_if_null(F.col("avoid"))) > 0, element("not", _listed("avoid")))
+    part = F.concat_ws("\n", F.concat(F.lit('    <experience title="'), esc(F.col("title")), F.lit('">')), element("when", _listed("apply_when")), element("do", F.col("recommendation")), avoid, F.lit("    </experience>"))
+    entry = F.concat(F.lit('    <skill name="'), esc(F.col("name")), F.lit('">'), esc(F.col("description")), F.lit("</skill>"))
+    rows = _prompt(tasks, ranked, experiences, skills, part, entry)
+    block = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"  <{name}>\n"), F.array_join(F.col(c), "\n"), F.lit(f"\n  </{name}>")))
+    return rows.select("task_id", F.concat_ws("\n", F.lit(f"<{root}>"), block("experiences", "parts"), block("skills", "entries"), F.lit(f"</{root}>")).alias("xml"))
+
+
+def prompt_json(tasks: DataFrame, ranked: DataFrame, experiences: DataFrame, skills: DataFrame | None = None) -> DataFrame:
+    """(task_id, json): experiences in rank order and skill summaries as one JSON document."""
+    part = F.to_json(F.struct(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("recommendation", F.lit("")).alias("recommendation"), T.empty_if_null(F.col("apply_when")).alias("applyWhen"), T.empty_if_null(F.col("avoid")).alias("avoid")))
+    entry = F.to_json(F.struct(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("description", F.lit("")).alias("description")))
+    rows = _prompt(tasks, ranked, experiences, skills, part, entry)
+    array = lambda c: F.concat(F.lit("["), F.coalesce(F.array_join(c, ","), F.lit("")), F.lit("]"))
+    return rows.select("task_id", F.concat(F.lit('{"experiences":'), array("parts"), F.lit(',"skillSummaries":'), array("entries"), F.lit("}")).alias("json"))
+
+
+def managed_content(experiences: DataFrame, skills: DataFrame, synced_at: str, most: int = 20, most_skills: int = 10) -> DataFrame:
+    """(content, experiences, skills): the section of an instruction file: the most confident experiences and the first skills; the limits are the feature."""
+    top = experiences.orderBy(F.desc_nulls_last("confidence"), "id").limit(most)
+    avoid = F.when(F.size(T.empty_if_null(F.col("avoid"))) > 0, F.concat(F.lit("- **Not:** "), _listed("avoid")))
+    part = F.concat_ws("\n", F.concat(F.lit("### "), F.coalesce("title", F.lit(""))), F.concat(F.lit("- **When:** "), _listed("apply_when")), F.concat(F.lit("- **Do:** "), F.coalesce("recommendation", F.lit(""))), avoid, F.lit(""))
+    e = top.groupBy().agg(F.sort_array(F.collect_list(F.struct((-F.coalesce("confidence", F.lit(-1.0))).alias("c"), "id", part.alias("text")))).alias("e"))
+    triggers = F.when(F.size(T.empty_if_null(F.col("triggers"))) > 0, F.concat(F.lit(" (triggers: "), F.array_join("triggers", ", "), F.lit(")"))).otherwise("")
+    s = skills.orderBy("id").limit(most_skills).groupBy().agg(F.sort_array(F.collect_list(F.struct("id", F.concat(F.lit("- **"), "name", F.lit("**: "), "description", triggers).alias("text")))).alias("s"))
+    texts = lambda c: F.array_join(F.transform(c, lambda x: x["text"]), "\n")
+    content = F.concat_ws(
+        "\n", F.when(F.size("e") > 0, F.concat(F.lit("## Learned Experiences\n\n"), texts("e"))), F.when(F.size("s") > 0, F.concat(F.lit("## Available Skills\n\n"), texts("s"), F.lit("\n"))), F.lit(f"_Last synced: {synced_at}_")
+    )
+    return e.join(s, F.lit(True)).select(content.alias("content"), F.size("e").cast("long").alias("experiences"), F.size("s").cast("long").alias("skills"))
+
+
+def search_texts(found: DataFrame) -> DataFrame:
+    """(id, text): each found experience as a paragraph of a search result."""
+    sure = F.format_string("%.2f", F.coalesce("confidence", F.lit(0.0)))
+    text = F.concat(F.lit("## "), F.coalesce("title", F.lit("")), F.lit(" ("), sure, F.lit(")\n"), F.coalesce("recommendation", F.lit("")), F.lit("\nApply when: "), F.array_join(T.empty_if_null(F.col("apply_when")), ", "))
+    return found.select("id", text.alias("text"))
 
 
 def experience_markdown(experiences: DataFrame) -> DataFrame:
@@ -66,21 +118,42 @@ def experience_from_markdown(documents: DataFrame) -> DataFrame:
 
 
 START, END = "<!-- learned:start -->", "<!-- learned:end -->"
+#: Markers of older files; they are read, and replaced when the section is written.
+OLD_START, OLD_END = "<!-- lessons:start -->", "<!-- lessons:end -->"
+
+
+def _section(start: str, end: str) -> str:
+    """Everything from the line of one marker to that of the other."""
+    return rf"(?ms)^[ \t]*\Q{start}\E[ \t]*$.*?^[ \t]*\Q{end}\E[ \t]*$"
+
+
+def read_section(document: Column) -> Column:
+    """The text between the marker lines, without white space around it; null if there is no section. Older markers count too."""
+
+    def inside(start: str, end: str) -> Column:
+        found = F.regexp_extract(document, _section(start, end), 0)
+        return F.when(found != "", F.regexp_replace(F.regexp_replace(found, rf"(?s)\A\s*\Q{start}\E\s*|\s*\Q{end}\E\s*\z", ""), r"\A\s+|\s+\z", ""))
+
+    return F.coalesce(inside(START, END), inside(OLD_START, OLD_END))
+
+
+def written_section(document: Column, content: Column) -> Column:
+    """The document with the section replaced, appended, or as the only text if the document is empty."""
+    doc = F.coalesce(document, F.lit(""))
+    block = F.concat(F.lit(START + "\n"), content, F.lit("\n" + END))
+    new, old = F.regexp_extract(doc, _section(START, END), 0), F.regexp_extract(doc, _section(OLD_START, OLD_END), 0)
+    return (
+        F.when(new != "", F.replace(doc, new, block)).when(old != "", F.replace(doc, old, block))
+        .when(doc.rlike(r"\A\s*\z"), F.concat(block, F.lit("\n"))).otherwise(F.concat(F.regexp_replace(doc, r"\s+\z", ""), F.lit("\n\n"), block, F.lit("\n")))
+    )
 
 
-def managed_section(document: str | None, content: str, start: str = START, end: str = END) -> tuple[str, str]:
-    """(text, what happened): the lines between two marker lines replaced, or a section appended or created.
+def synced(targets: DataFrame) -> DataFrame:
+    """(target, document, action) of targets (target, document, content, experiences, skills): what a sync writes.
 
-    Markers count only where they fill a line. ``unchanged`` if the text stays the same.
+    ``unchanged`` if there is nothing to write or the section holds the content already, else ``updated``, or
+    ``created`` where the document was empty.
     """
-    block = f"{start}\n{content}\n{end}"
-    if not document:
-        return block + "\n", "created"
-    lines = document.split("\n")
-    at = [k for k, x in enumerate(lines) if x.strip() == start]
-    till = [k for k, x in enumerate(lines) if x.strip() == end and at and k > at[0]]
-    if at and till:
-        new = "\n".join([*lines[: at[0]], block, *lines[till[0] + 1 :]])
-    else:
-        new = document.rstrip("\n") + "\n\n" + block + "\n"
-    return new, "unchanged" if new == document else "updated"
+    same = (F.col("experiences") + F.col("skills") == 0) | F.coalesce(read_section(F.col("document")) == F.regexp_replace("content", r"\A\s+|\s+\z", ""), F.lit(False))
+    action = F.when(same, "unchanged").when(F.trim(F.coalesce("document", F.lit(""))) == "", "created").otherwise("updated")
+    return targets.select("target", F.when(same, F.col("document")).otherwise(written_section(F.col("document"), F.col("content"))).alias("document"), action.alias("action"))

@@ -99,6 +99,34 @@ def most_similar(records: DataFrame, queries: DataFrame, k: int, threshold: floa
 _USUAL = {"title": 0.13, "triggers": 0.08, "recommendation": 0.016, "problem": 0.012}
 
 
+def _indexed(postings: DataFrame, group: list[str], threshold: float, frequencies: DataFrame) -> DataFrame:
+    """The entries under which a record must be met: all but the longest run of its first ones that alone could not reach the threshold."""
+    fields = list(WEIGHTS)
+    usual = F.create_map(*[F.lit(x) for kv in _USUAL.items() for x in kv])
+    rated = postings.join(frequencies, ["field", "token"]).withColumn("rate", F.col("df") / usual[F.col("field")])
+    so_far = Window.partitionBy(*group, "id").orderBy(F.desc("rate"), "field", "token").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.lit(0.0)
+    for f in fields:
+        c, n = F.count_if(F.col("field") == f).over(so_far), F.col(f"n_{f}")
+        reach = reach + WEIGHTS[f] * (c / F.greatest(n, F.lit(1)) if f == "triggers" else 2.0 * c / F.greatest(n + c, F.lit(1)))
+    return rated.withColumn("reach", reach).where(F.col("reach") >= threshold - 1e-6).select(*group, "id", F.xxhash64("field", "token").alias("entry"), *[f"n_{f}" for f in fields])
+
+
+def _postings(sets: DataFrame, group: list[str]) -> DataFrame:
+    def posted(field: str) -> Column:
+        return F.transform(field, lambda token: F.struct(F.lit(field).alias("field"), token.alias("token")))
+
+    return sets.select(*group, "id", *[F.size(f).alias(f"n_{f}") for f in WEIGHTS], F.inline(F.flatten(F.array(*[posted(f) for f in WEIGHTS]))))
+
+
+def _size_bound() -> Column:
+    bound = F.lit(0.0)
+    for f, weight in WEIGHTS.items():
+        m, n = F.col(f"a.n_{f}"), F.col(f"b.n_{f}")
+        bound = bound + weight * (F.least(m, n) / F.greatest(m, n, F.lit(1)) if f == "triggers" else 2.0 * F.least(m, n) / F.greatest(m + n, F.lit(1)))
+    return bound
+
+
 def similar_pairs(records: DataFrame, threshold: float = THRESHOLD, scope: str = "scope") -> DataFrame:
     """(scope, id_a, id_b, score): pairs of one scope of at least the threshold, smaller id first.
 
@@ -108,36 +136,45 @@ def similar_pairs(records: DataFrame, threshold: float = THRESHOLD, scope: str =
     not reach the threshold with any partner; the last common entry of a similar pair is in neither run, so the
     pair meets in the index. Pairs within the size bound are verified on their sets.
     """
-    fields = list(WEIGHTS)
     classes = cut(copies_of(records, scope).where("id = class_id").drop("class_id"), "similar-classes")
-
-    def posted(field: str) -> Column:
-        return F.transform(field, lambda token: F.struct(F.lit(field).alias("field"), token.alias("token")))
-
-    sizes = [f"n_{f}" for f in fields]
-    postings = classes.select(scope, "id", *[F.size(f).alias(f"n_{f}") for f in fields], F.inline(F.flatten(F.array(*[posted(f) for f in fields]))))
-    usual = F.create_map(*[F.lit(x) for kv in _USUAL.items() for x in kv])
-    rated = postings.join(postings.groupBy("field", "token").agg(F.count("*").alias("df")), ["field", "token"]).withColumn("rate", F.col("df") / usual[F.col("field")])
-    so_far = Window.partitionBy(scope, "id").orderBy(F.desc("rate"), "field", "token").rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.lit(0.0)
-    for f in fields:
-        c, n = F.count_if(F.col("field") == f).over(so_far), F.col(f"n_{f}")
-        reach = reach + WEIGHTS[f] * (c / F.greatest(n, F.lit(1)) if f == "triggers" else 2.0 * c / F.greatest(n + c, F.lit(1)))
-    index = cut(rated.withColumn("reach", reach).where(F.col("reach") >= threshold - 1e-6).select(scope, "id", F.xxhash64("field", "token").alias("entry"), *sizes), "similar-index")
-
+    postings = _postings(classes, [scope])
+    index = cut(_indexed(postings, [scope], threshold, postings.groupBy("field", "token").agg(F.count("*").alias("df"))), "similar-index")
     a, b = index.alias("a"), index.alias("b")
-    bound = F.lit(0.0)
-    for f in fields:
-        m, n = F.col(f"a.n_{f}"), F.col(f"b.n_{f}")
-        bound = bound + WEIGHTS[f] * (F.least(m, n) / F.greatest(m, n, F.lit(1)) if f == "triggers" else 2.0 * F.least(m, n) / F.greatest(m + n, F.lit(1)))
-    met = a.join(b, (F.col(f"a.{scope}") == F.col(f"b.{scope}")) & (F.col("a.entry") == F.col("b.entry")) & (F.col("a.id") < F.col("b.id")) & (bound >= threshold - 1e-6))
+    met = a.join(b, (F.col(f"a.{scope}") == F.col(f"b.{scope}")) & (F.col("a.entry") == F.col("b.entry")) & (F.col("a.id") < F.col("b.id")) & (_size_bound() >= threshold - 1e-6))
     met = met.select(F.col(f"a.{scope}").alias(scope), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    x = classes.select(F.col("id").alias("id_a"), F.struct(*fields).alias("x"))
-    y = classes.select(F.col("id").alias("id_b"), F.struct(*fields).alias("y"))
-    scored = met.join(x, "id_a").join(y, "id_b").select(scope, "id_a", "id_b", F.round(similarity("x", "y"), 6).alias("score"))
+    return _scored(met, classes, classes, [scope], threshold)
+
+
+def _scored(met: DataFrame, left: DataFrame, right: DataFrame, keep: list[str], threshold: float) -> DataFrame:
+    x = left.select(F.col("id").alias("id_a"), F.struct(*WEIGHTS).alias("x"))
+    y = right.select(F.col("id").alias("id_b"), F.struct(*WEIGHTS).alias("y"))
+    scored = met.join(x, "id_a").join(y, "id_b").select(*keep, "id_a", "id_b", F.round(similarity("x", "y"), 6).alias("score"))
     return scored.where(F.col("score") >= threshold)
 
 
+def linked_copies(records: DataFrame, threshold: float = THRESHOLD, scope: str = "scope") -> DataFrame:
+    """(id_a, id_b): each record with its class, where records of its token sets reach the threshold with one another (a field without tokens adds nothing)."""
+    own = F.lit(0.0)
+    for field, weight in WEIGHTS.items():
+        own = own + F.when(F.size(field) > 0, weight).otherwise(0.0)
+    return copies_of(records, scope).where((F.col("id") != F.col("class_id")) & (F.round(own, 6) >= threshold)).select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"))
+
+
+def best_matches(records: DataFrame, others: DataFrame, threshold: float = 0.4) -> DataFrame:
+    """(id, match_id, score): for each record the most similar of ``others`` of at least the threshold, of equals the smallest id.
+
+    Both sides are indexed in the same order of entries, so the argument of ``similar_pairs`` holds across them.
+    """
+    left, right = cut(token_sets(records), "match-left"), cut(token_sets(others), "match-right")
+    p, q = _postings(left, []), _postings(right, [])
+    df = p.select("field", "token").unionByName(q.select("field", "token")).groupBy("field", "token").agg(F.count("*").alias("df"))
+    a, b = _indexed(p, [], threshold, df).alias("a"), _indexed(q, [], threshold, df).alias("b")
+    met = a.join(b, (F.col("a.entry") == F.col("b.entry")) & (_size_bound() >= threshold - 1e-6)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    scored = _scored(met, left, right, [], threshold)
+    best = scored.groupBy(F.col("id_a").alias("id")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id_b").alias("match_id"))).alias("m"))
+    return best.select("id", "m.match_id", (-F.col("m.s")).alias("score"))
+
+
 def copies_of(records: DataFrame, scope: str = "scope") -> DataFrame:
     """Token sets with ``class_id``: the smallest id of the scope's records with the same sets."""
     fields = list(WEIGHTS)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
+from lorewell.operators.timestamps import parse
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -14,22 +15,23 @@ def upsert(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
 
 
 def merged_by_hint(experiences: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(id, evidence_n, triggers_n, merged): experiences into which candidates that name them are merged.
+    """(id, recommendation, evidence, triggers, needs_review, merged): experiences into which candidates that name them are merged.
 
-    Evidence and triggers become the distinct union; the record's own recommendation stays. Several candidates of
-    one record are merged as a set, so none is lost.
+    Evidence and triggers become the ordered union, the record's own values first, then those of the candidates by
+    their ids; the record's own recommendation stays. Several candidates of one record are merged together, so none
+    is lost. Nulls in arrays are dropped.
     """
-    into = candidates.where("hint_action = 'merge' and hint_target_id is not null")
-    values = lambda df, k, c: df.select(F.col(k).alias("id"), F.explode(c).alias("v")).where("v is not null")
+    into = candidates.where("hint_action = 'merge' and hint_target_id is not null").select(F.col("hint_target_id").alias("id"), F.col("candidate_id").alias("by"), "evidence", "triggers")
+    hit = into.groupBy("id").agg(F.count("*").alias("merged"))
+    own = experiences.join(hit.select("id"), "id", "left_semi")
 
-    def count(column: str) -> DataFrame:
-        new = values(into, "hint_target_id", column)
-        old = values(experiences.join(into.select(F.col("hint_target_id").alias("id")).distinct(), "id", "left_semi"), "id", column)
-        return old.unionByName(new).distinct().groupBy("id").agg(F.count("*").alias(f"{column}_n"))
+    def union(column: str) -> DataFrame:
+        values = own.select("id", F.lit("").alias("by"), F.posexplode(column).alias("at", "v")).unionByName(into.select("id", "by", F.posexplode(column).alias("at", "v")))
+        firsts = values.where("v is not null").groupBy("id", "v").agg(F.min(F.struct("by", "at")).alias("first"))
+        return firsts.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "v"))), lambda x: x["v"]).alias(column))
 
-    hit = into.groupBy(F.col("hint_target_id").alias("id")).agg(F.count("*").alias("merged")).join(experiences.select("id"), "id", "left_semi")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return hit.join(count("evidence"), "id", "left").join(count("triggers"), "id", "left").select("id", zero("evidence_n"), zero("triggers_n"), "merged")
+    both = own.select("id", "recommendation").join(union("evidence"), "id", "left").join(union("triggers"), "id", "left").join(hit, "id")
+    return both.select("id", "recommendation", T.empty_if_null(F.col("evidence")).alias("evidence"), T.empty_if_null(F.col("triggers")).alias("triggers"), F.lit(True).alias("needs_review"), "merged")
 
 
 def updated(experiences: DataFrame, updates: DataFrame) -> DataFrame:
@@ -52,6 +54,19 @@ def updated(experiences: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def last_processed(session_refs: DataFrame) -> DataFrame:
-    """(project, last_session_id, sessions): per normalised project the session with the latest start, and how many there are."""
-    one = session_refs.where("id is not null").groupBy("id").agg(F.max_by("project_path", "mtime_ms").alias("project_path"), F.max("mtime_ms").alias("mtime_ms"))
-    return one.groupBy(T.normal_path(F.col("project_path")).alias("project")).agg(F.max_by("id", F.struct(F.coalesce("mtime_ms", F.lit(-1)), "id")).alias("last_session_id"), F.count("*").alias("sessions"))
+    """(project, last_session_id, sessions): per normalised project the session with the latest start, and how many there are.
+
+    Starts are compared as instants; one that is missing or no time counts as 1970, a local one as UTC. Of a
+    session listed twice the later listing counts, of equal starts the larger id.
+    """
+    one = session_refs.where("id is not null").groupBy("id").agg(F.max_by(F.struct("project_path", "started_at"), F.coalesce("mtime_ms", F.lit(-1))).alias("r")).select("id", "r.*")
+    timed = parse(one.withColumn("__utc", F.lit("UTC")), "started_at", "__utc")
+    at = F.struct(F.coalesce("instant_ms", F.lit(0)), "id")
+    return timed.groupBy(T.normal_path(F.col("project_path")).alias("project")).agg(F.max_by("id", at).alias("last_session_id"), F.count("*").alias("sessions"))
+
+
+def advanced_marker(markers: DataFrame, done: DataFrame) -> DataFrame:
+    """(project, session_id, started_ms): the marker of each project after more sessions were processed; it only moves to a start that is not earlier."""
+    rank = F.struct("started_ms", "turn", "session_id")
+    both = markers.select("project", "session_id", "started_ms", F.lit(0).alias("turn")).unionByName(done.select("project", "session_id", F.coalesce("started_ms", F.lit(0)).alias("started_ms"), F.lit(1).alias("turn")))
+    return both.groupBy("project").agg(F.max_by("session_id", rank).alias("session_id"), F.max("started_ms").alias("started_ms"))

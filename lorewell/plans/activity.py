@@ -58,13 +58,15 @@ def stats_by_project(spark, d):
 
 @query(f"""WITH {E} SELECT (SELECT count(*) FROM e) AS episodes, (SELECT count(*) FROM e WHERE status = 'success') AS successes, (SELECT count(*) FROM e WHERE status = 'partial') AS partials,
     (SELECT count(*) FROM e WHERE status = 'failure') AS failures, count(*) AS experiences, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'draft') AS drafts,
-    count(*) FILTER (status = 'deprecated') AS deprecated FROM experiences""")
+    count(*) FILTER (status = 'deprecated') AS deprecated,
+    (SELECT count(DISTINCT {SIGN}) FROM e) AS patterns FROM experiences""")
 def stats_totals(spark, d):
     """AGG-01, AGG-04: totals and counts by condition; two one-row aggregates."""
     s = lambda v: F.count_if(F.col("status") == v)
     left = _e(spark, d).agg(F.count("*").alias("episodes"), s("success").alias("successes"), s("partial").alias("partials"), s("failure").alias("failures"))
     right = table(spark, d, "experiences").agg(F.count("*").alias("experiences"), s("active").alias("active"), s("draft").alias("drafts"), s("deprecated").alias("deprecated"))
-    return left.join(right, F.lit(True))
+    signs = _e(spark, d).agg(F.countDistinct(T.signature(F.col("domain"), F.col("task_type"), F.col("tags"))).alias("patterns"))
+    return left.join(right, F.lit(True)).join(signs, F.lit(True))
 
 
 @query(f"WITH {E} SELECT 'episodes' AS entity, status, count(*) AS n FROM e GROUP BY status UNION ALL SELECT 'experiences', status, count(*) FROM experiences GROUP BY status")
@@ -136,7 +138,7 @@ def experiences_listed(spark, d):
 @query("SELECT id FROM experiences WHERE status = 'active' AND (contains(lower(concat_ws(' ', title, problem, recommendation, array_to_string(triggers, ' '), array_to_string(avoid, ' '))), 'sidebar') OR contains(lower(concat_ws(' ', title, problem, recommendation, array_to_string(triggers, ' '), array_to_string(avoid, ' '))), 'webhook'))")
 def experiences_search_any(spark, d):
     """FLT-05: active experiences that hold any keyword."""
-    return records.search_any(table(spark, d, "experiences").where("status = 'active'"), "Sidebar webhook", ["title", "problem", "recommendation", "triggers", "avoid"]).select("id")
+    return records.search_any(table(spark, d, "experiences").where("status = 'active'"), "Sidebar  webhook", ["title", "problem", "recommendation", "triggers", "avoid"]).select("id")
 
 
 @query("SELECT id FROM experiences WHERE contains(lower(concat_ws(' ', title, problem, recommendation, array_to_string(triggers, ' '), array_to_string(apply_when, ' '))), 'share one')")
@@ -161,8 +163,7 @@ def sessions_watched(spark, d):
     return table(spark, d, "session_refs").where(cond).select("id").distinct()
 
 
-@query("""SELECT CASE WHEN project_path IS NULL OR project_path = '' THEN 'default' ELSE lower(replace(project_path, '\\', '/')) END AS project, arg_max(id, (coalesce(mtime_ms, -1), id)) AS last_session_id, count(*) AS sessions
-    FROM (SELECT id, arg_max_null(project_path, mtime_ms) AS project_path, max(mtime_ms) AS mtime_ms FROM session_refs GROUP BY id) GROUP BY 1""")
+@query()
 def projects_last_session(spark, d):
     """PRJ-21, TOP-15, MRG-08, SRC-20: the latest session of each normalised project."""
     return upserts.last_processed(table(spark, d, "session_refs"))
@@ -199,7 +200,8 @@ def session_episodes(spark, d):
     SELECT session_id, CAST(step - 1 AS BIGINT) AS step_no, max(CASE WHEN role = 'tool_use' THEN coalesce(tool_name, content) END) AS action,
         arg_max_null(coalesce(tool_output, content), seq) FILTER (role = 'tool_result') AS output,
         arg_max(left(coalesce(tool_output, content), 200), seq) FILTER (role = 'tool_result' AND contains(lower(coalesce(tool_output, content, '')), 'error')) AS error
-    FROM t WHERE step > 0 GROUP BY session_id, step""")
+    FROM t WHERE step > 0 GROUP BY session_id, step
+    UNION ALL SELECT session_id, 0, 'conversation', NULL, NULL FROM m GROUP BY session_id HAVING count(*) FILTER (role = 'tool_use') = 0""")
 def session_steps(spark, d):
     """PRJ-10: tool calls with the result that follows them."""
     return transcripts.steps(_m(spark, d))
@@ -227,22 +229,6 @@ def retrieved(spark, d):
     return _ranked(spark, d)
 
 
-@query(f"""WITH {_RANKED}, l AS (SELECT task_id, rank, rank || '. **' || coalesce(title, '') || '**' || CASE WHEN len(apply_when) > 0 THEN chr(10) || '   When: ' || array_to_string(apply_when, '; ') ELSE '' END
-        || chr(10) || '   Do: ' || coalesce(recommendation, '') || CASE WHEN len(avoid) > 0 THEN chr(10) || '   Avoid: ' || array_to_string(avoid, '; ') ELSE '' END AS line FROM r JOIN experiences q ON q.id = r.experience_id)
-    SELECT task_id, '## Relevant Past Experiences' || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS markdown FROM l GROUP BY task_id""")
-def rendered_markdown(spark, d):
-    """RND-01: the prompt block of each task."""
-    return rendering.prompt_markdown(_ranked(spark, d), table(spark, d, "experiences"))
-
-
-@query(f"""WITH {_RANKED}, l AS (SELECT task_id, rank, '  <experience id="' || experience_id || '" title="' || replace(replace(replace(replace(coalesce(title, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '">'
-        || replace(replace(replace(replace(coalesce(recommendation, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</experience>' AS line FROM r JOIN experiences q ON q.id = r.experience_id)
-    SELECT task_id, '<context>' || chr(10) || string_agg(line, chr(10) ORDER BY rank) || chr(10) || '</context>' AS xml FROM l GROUP BY task_id""")
-def rendered_xml(spark, d):
-    """RND-02, PRJ-24: the same as XML."""
-    return rendering.prompt_xml(_ranked(spark, d), table(spark, d, "experiences"))
-
-
 @query("SELECT id, title, confidence, array_to_string(triggers, '|') AS triggers, trim(problem) AS problem, trim(recommendation) AS recommendation, array_to_string(coalesce(apply_when, []), '|') AS apply_when FROM experiences")
 def markdown_round_trip(spark, d):
     """SNK-02, PRJ-08, RND-06: experiences written as Markdown documents and read back."""
@@ -301,28 +287,6 @@ def most_similar(spark, d):
     return retrieval.most_similar(x, q, 10)
 
 
-@query(f"""WITH RECURSIVE {_SETS}, v AS MATERIALIZED (SELECT x.id AS id_a, y.id AS id_b FROM s x JOIN s y ON x.scope = y.scope AND x.id < y.id WHERE round({_SIM}, 6) >= 0.32),
-    g AS (SELECT id_a AS u, id_b AS v FROM v UNION ALL SELECT id_b, id_a FROM v), r(u, c) AS (SELECT DISTINCT u, u FROM g UNION SELECT g.v, r.c FROM r JOIN g ON g.u = r.u WHERE r.c < g.v),
-    k AS (SELECT u AS id, min(c) AS component FROM r GROUP BY u),
-    t AS (SELECT k.*, row_number() OVER (PARTITION BY component ORDER BY length(coalesce(recommendation, '')) DESC, coalesce(confidence, 0) DESC, k.id) AS n FROM k JOIN experiences USING (id))
-    SELECT t.id, t.component, CASE WHEN t.n = 1 THEN 'keep' ELSE 'merge' END AS role, h.id AS primary_id FROM t JOIN t h ON h.component = t.component AND h.n = 1""")
-def merge_plan(spark, d):
-    """CLU-01, CLU-03, TOP-09: clusters of similar experiences per scope and which record of each stays."""
-    x = table(spark, d, "experiences")
-    links = retrieval.similar_pairs(x)
-    same = retrieval.copies_of(x).where("id <> class_id").select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"))
-    return clusters.merge_plan(x, clusters.components(links.select("id_a", "id_b").unionByName(same)))
-
-
-@query("""WITH h AS (SELECT hint_target_id AS id, count(*) AS merged FROM candidates JOIN experiences q ON q.id = hint_target_id WHERE hint_action = 'merge' GROUP BY 1),
-    n(id, k, v) AS (SELECT hint_target_id, 'e', unnest(evidence) FROM candidates WHERE hint_action = 'merge' UNION SELECT hint_target_id, 't', unnest(triggers) FROM candidates WHERE hint_action = 'merge'
-        UNION SELECT id, 'e', unnest(evidence) FROM experiences UNION SELECT id, 't', unnest(triggers) FROM experiences)
-    SELECT h.id, count(v) FILTER (k = 'e') AS evidence_n, count(v) FILTER (k = 't') AS triggers_n, any_value(merged) AS merged FROM h LEFT JOIN n USING (id) GROUP BY h.id""")
-def merged_by_hint(spark, d):
-    """MRG-02, JON-11, SET-01: candidates merged into the records they name."""
-    return upserts.merged_by_hint(table(spark, d, "experiences"), table(spark, d, "candidates"))
-
-
 @query("""SELECT q.id, coalesce(nullif(c.title, ''), q.title) AS title, coalesce(nullif(c.recommendation, ''), q.recommendation) AS recommendation, CASE WHEN c.id IS NULL THEN q.version ELSE q.version + 1 END AS version,
     len(coalesce(q.history, [])) + CASE WHEN c.id IS NULL THEN 0 ELSE 1 END AS revisions FROM experiences q LEFT JOIN (SELECT hint_target_id AS id, arg_max(title, candidate_id) AS title, arg_max(recommendation, candidate_id) AS recommendation FROM candidates WHERE hint_target_id IS NOT NULL GROUP BY 1) c ON c.id = q.id""")
 def updated_records(spark, d):
@@ -352,14 +316,6 @@ def compact_savings(spark, d):
     return g.withColumn("saved_pct", F.floor((1 - F.col("chars_after") / F.col("chars_before")) * 100 + 0.5))
 
 
-@query(f"""WITH {E}, w AS (SELECT id, domain, task_type, started_at, unnest(trace.errors) AS err FROM e) SELECT domain, task_type, err.message AS message, count(DISTINCT id) AS episodes, min(started_at) AS first_at, max(started_at) AS last_at
-    FROM w WHERE err.message IS NOT NULL GROUP BY domain, task_type, err.message HAVING count(DISTINCT id) > 1""")
-def repeated_errors(spark, d):
-    """DSG-04 (designed only): errors that several episodes of a type share."""
-    w = _e(spark, d).select("id", "domain", "task_type", "started_at", F.explode("trace.errors.message").alias("message")).where("message is not null")
-    return w.groupBy("domain", "task_type", "message").agg(F.countDistinct("id").alias("episodes"), F.min("started_at").alias("first_at"), F.max("started_at").alias("last_at")).where("episodes > 1")
-
-
 @query("SELECT id, confidence, row_number() OVER (ORDER BY updated_at DESC NULLS LAST, id) AS n FROM experiences WHERE status = 'active' QUALIFY n = 7")
 def experience_nth(spark, d):
     """TOP-08: the seventh of the active experiences by last change; sorted with a limit, not numbered in one task."""
@@ -376,32 +332,6 @@ def candidates_read(spark, d):
     return out.select("id", "place", "title", "problem", "recommendation", F.array_join("triggers", "|").alias("triggers"), F.array_join("apply_when", "|").alias("apply_when"), "confidence")
 
 
-@query(f"WITH {E} SELECT id, length(coalesce(description, '')) AS description_chars FROM e")
-def extraction_prompts(spark, d):
-    """UDF-01, UDF-03: every episode asked of the stand-in model, which finds nothing; one prompt per episode."""
-    eps = _e(spark, d)
-    prompts = extraction.prompts(eps)
-    found = extraction.candidates(extraction.answered(prompts)).select("id").distinct()
-    return prompts.join(found, "id", "left_anti").join(eps.select("id", "description"), "id").select("id", F.length(F.coalesce("description", F.lit(""))).cast("long").alias("description_chars"))
-
-
-@query(f"""WITH {_RANKED}, b AS (SELECT task_id, list(title ORDER BY rank) AS titles FROM r JOIN experiences q ON q.id = r.experience_id GROUP BY task_id) SELECT task_id, titles[1] AS first_title, len(titles) AS n FROM b""")
-def rendered_json(spark, d):
-    """RND-03: the ranked experiences of a task as one JSON document, read back by path."""
-    rows = _ranked(spark, d).join(table(spark, d, "experiences").select(F.col("id").alias("experience_id"), "title", "recommendation"), "experience_id")
-    doc = rows.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("rank", "title", "recommendation"))).alias("experiences"))
-    text = doc.select("task_id", F.to_json(F.struct("experiences")).alias("json"))
-    return text.select("task_id", F.get_json_object("json", "$.experiences[0].title").alias("first_title"), F.json_array_length(F.get_json_object("json", "$.experiences")).cast("long").alias("n"))
-
-
-@query(f"""WITH {E}, w AS (SELECT *, CASE WHEN lower(project_path) LIKE '/users/%' THEN 'mac' ELSE 'other' END AS host FROM e) SELECT host, count(*) AS sessions, count(*) FILTER (status = 'failure') AS errors,
-    array_to_string(list_sort(list(DISTINCT domain) FILTER (domain IS NOT NULL)), ',') AS domains FROM w GROUP BY host""")
-def combined_results(spark, d):
-    """AGG-10, AGG-11, AGG-12: counters of several projects added up, with the distinct values they saw."""
-    e = _e(spark, d).withColumn("host", F.when(F.lower("project_path").startswith("/users/"), "mac").otherwise("other"))
-    return e.groupBy("host").agg(F.count("*").alias("sessions"), F.count_if(F.col("status") == "failure").alias("errors"), F.array_join(F.array_sort(F.collect_set("domain")), ",").alias("domains"))
-
-
 @query("SELECT id AS candidate_id, existing_id FROM (SELECT c.candidate_id AS id, q.id AS existing_id, row_number() OVER (PARTITION BY c.candidate_id ORDER BY q.id) AS n FROM candidates c JOIN experiences q ON lower(trim(q.title)) = lower(trim(c.title)) AND q.scope = c.scope WHERE q.status = 'active') WHERE n = 1")
 def same_titles(spark, d):
     """FLT-07 rule 5, SIM-04: the first active record of the same scope and title as a candidate."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorewell.plans import activity, general, transcripts
+from lorewell.plans import activity, general, knowledge, transcripts
 
-MODULES = [activity, transcripts, general]
+MODULES = [activity, knowledge, transcripts, general]
 
 
 def queries() -> dict:

@@ -12,24 +12,48 @@ D: lines with a nested ``message`` or flat ``role`` and ``content``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ["session_id", "line_no", "part", "role", "content", "tool_name", "tool_input", "tool_output", "ts"]
 KNOWN_ROLES = ("user", "assistant", "tool_use", "tool_result", "system")
 
 
-def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(path, line_no, value): the physical lines of all files under a folder, numbered from 0; agents' own files are skipped."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("path"), "value").where(~F.element_at(F.split("path", "/"), -1).startswith("agent-"))
+# The names of files and folders of the dialects.
+AGENT_FILES, ROOT_FILE, CHATS = "agent-", ".project_root", "chats"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _files(spark: SparkSession, paths: list[str], pattern: str) -> DataFrame:
+    """(path, value): whole files under several folders; a folder that does not exist has none."""
+    there = [p for p in paths if exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], "path string, value string")
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(there, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def read_lines(spark: SparkSession, path: str | list[str], pattern: str = "*.jsonl") -> DataFrame:
+    """(path, line_no, value): the physical lines of all files under one or more folders, numbered from 0; agents' own files are skipped, a missing folder is empty."""
+    files = _files(spark, [path] if isinstance(path, str) else path, pattern)
+    files = files.where(~F.element_at(F.split("path", "/"), -1).startswith(AGENT_FILES))
     text = F.regexp_replace("value", r"\n\z", "")
     return files.select("path", F.posexplode(F.split(text, "\n")).alias("line_no", "value"))
 
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), "value")
+    return _files(spark, [path], pattern)
+
+
+def project_roots(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, root): what the root file of each project folder says, without white space around it; empty files give none."""
+    files = _files(spark, [path], ROOT_FILE)
+    root = F.regexp_replace("value", r"\A\s+|\s+\z", "")
+    return files.select(F.regexp_replace("path", r"/[^/]+\z", "").alias("folder"), root.alias("root")).where("root <> ''")
 
 
 def session_of(path: Column) -> Column:
@@ -128,26 +152,97 @@ def normal_time(value: Column) -> Column:
     return F.when(n.isNotNull(), F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSSX")).otherwise(value)
 
 
+def _edges(lines: DataFrame, head: int, tail: int) -> DataFrame:
+    """The first ``head`` and last ``tail`` lines of each file that are not blank, with the flags ``head`` and ``tail``.
+
+    The bounds are two aggregates of line numbers, each partial result at most ``head`` or ``tail`` numbers long.
+    """
+    full = lines.where(F.trim("value") != "")
+    runs = full.groupBy("path", F.floor(F.col("line_no") / 1024).alias("run")).agg(F.sort_array(F.collect_list("line_no")).alias("n"))
+    few = runs.select("path", F.slice("n", 1, head).alias("first"), F.slice(F.reverse("n"), 1, tail).alias("last"))
+    # Only runs at the ends of a file can hold its first or last lines; the others are cut by counting before and after.
+    ends = few.select("path", F.explode(F.array_distinct(F.concat("first", "last"))).alias("line_no"))
+    up, down = F.row_number().over(Window.partitionBy("path").orderBy("line_no")), F.row_number().over(Window.partitionBy("path").orderBy(F.desc("line_no")))
+    near = ends.select("path", "line_no", (up <= head).alias("head"), (down <= tail).alias("tail")).where("head or tail")
+    return full.join(near, ["path", "line_no"])
+
+
+def _first(value: Column, cond: Column) -> Column:
+    return F.min_by(value, F.when(cond & value.isNotNull(), F.col("line_no")))
+
+
+def _last(value: Column, cond: Column) -> Column:
+    return F.max_by(value, F.when(cond & value.isNotNull(), F.col("line_no")))
+
+
+META = ["path", "session_id", "started_at", "ended_at", "cwd", "title"]
+
+
 def session_meta(lines: DataFrame) -> DataFrame:
     """(path, session_id, started_at, ended_at, cwd, title, line_count) of dialect A, from a file's first 10 and last 30 lines that are not blank.
 
     The title is the earliest custom one of the tail, else the last generated one of the head.
     """
     v = F.col("value")
-    full = lines.where(F.trim("value") != "")
-    from pyspark.sql import Window
+    near = _edges(lines, 10, 30).select("path", "line_no", "head", "tail", _j(v, "$.timestamp").alias("ts"), _j(v, "$.cwd").alias("cwd"), _j(v, "$.type").alias("type"), _j(v, "$.title").alias("title"), _j(v, "$.customTitle").alias("custom"))
+    head, tail, c = F.col("head"), F.col("tail"), F.col
+    meta = near.groupBy("path").agg(
+        _first(c("ts"), head).alias("started_at"), _last(c("ts"), tail).alias("ended_at"), _first(c("cwd"), head).alias("cwd"),
+        F.coalesce(_first(c("custom"), tail & (c("type") == "custom-title")), _last(c("title"), head & (c("type") == "ai-title"))).alias("title"),
+    )
+    counts = lines.groupBy("path").agg((F.max("line_no") + 1).alias("line_count"))
+    return meta.join(counts, "path").select("path", session_of(F.col("path")).alias("session_id"), "started_at", "ended_at", "cwd", "title", "line_count")
 
-    w = Window.partitionBy("path")
-    near = full.withColumn("up", F.row_number().over(w.orderBy("line_no"))).withColumn("down", F.row_number().over(w.orderBy(F.desc("line_no"))))
-    near = near.where("up <= 10 or down <= 30").select("path", "line_no", "up", "down", _j(v, "$.timestamp").alias("ts"), _j(v, "$.cwd").alias("cwd"), _j(v, "$.type").alias("type"), _j(v, "$.title").alias("title"), _j(v, "$.customTitle").alias("custom"))
-    head, tail = F.col("up") <= 10, F.col("down") <= 30
-    has = lambda c, cond: F.when(cond & F.col(c).isNotNull(), F.col("line_no"))
+
+def session_meta_b(lines: DataFrame) -> DataFrame:
+    """The same columns but ``line_count`` for dialect B; sessions of sub-agents and files without an id are left out.
+
+    Id and folder come from the meta line, else the id from the file's name; the title is the start of the first user text.
+    """
+    v = F.col("value")
+    near = _edges(lines, 10, 30).select("path", "line_no", "head", "tail", normal_time(_j(v, "$.timestamp")).alias("ts"), _j(v, "$.type").alias("type"), _j(v, "$.payload.id").alias("id"), _j(v, "$.payload.cwd").alias("cwd"), _j(v, "$.payload.source.subagent").alias("agent"), _j(v, "$.payload.type").alias("kind"), _j(v, "$.payload.role").alias("role"), _j(v, "$.payload.content").alias("content"))
+    c, head = F.col, F.col("head")
+    opened = head & (c("type") == "session_meta")
+    asked = head & (c("type") == "response_item") & (c("kind") == "message") & (c("role") == "user")
+    text = F.nullif(F.when(_is(c("content"), "["), _text_blocks(c("content"), ("text", "input_text", "output_text"))).otherwise(c("content")), F.lit(""))
     meta = near.groupBy("path").agg(
-        F.min_by("ts", has("ts", head)).alias("started_at"), F.max_by("ts", has("ts", tail)).alias("ended_at"), F.min_by("cwd", has("cwd", head)).alias("cwd"),
-        F.coalesce(F.min_by("custom", has("custom", tail & (F.col("type") == "custom-title"))), F.max_by("title", has("title", head & (F.col("type") == "ai-title")))).alias("title"),
+        _last(c("id"), opened).alias("id"), _last(c("cwd"), opened).alias("cwd"), F.coalesce(F.bool_or(opened & c("agent").isNotNull()), F.lit(False)).alias("agent"),
+        _first(c("ts"), head).alias("started_at"), _last(c("ts"), c("tail")).alias("ended_at"), F.left(_first(text, asked), F.lit(80)).alias("title"),
     )
-    counts = lines.groupBy("path").agg(F.max("line_no").alias("last"))
-    return meta.join(counts, "path").select("path", session_of(F.col("path")).alias("session_id"), "started_at", "ended_at", "cwd", "title", (F.col("last") + 1).alias("line_count"))
+    named = F.nullif(F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", 0), F.lit(""))
+    return meta.where("not agent").withColumn("session_id", F.coalesce("id", named)).where("session_id is not null").select(*META)
+
+
+def session_meta_c(documents: DataFrame, roots: DataFrame) -> DataFrame:
+    """The same for dialect C: one document per session, its working folder from the root file of its project folder (folder, root)."""
+    v = F.col("value")
+    asked = F.filter(F.coalesce(_array(_j(v, "$.messages")), F.expr("cast(array() as array<string>)")), lambda m: (_j(m, "$.type") == "user") & ~_is(_j(m, "$.content"), "[") & (F.trim(_j(m, "$.content")) != ""))
+    df = documents.select(
+        "path", F.regexp_extract("path", rf"\A(.*)/{CHATS}/[^/]+\z", 1).alias("folder"), _j(v, "$.sessionId").alias("session_id"), normal_time(_j(v, "$.startTime")).alias("started_at"),
+        normal_time(_j(v, "$.lastUpdated")).alias("ended_at"), F.left(_j(F.get(asked, F.lit(0)), "$.content"), F.lit(80)).alias("title"),
+    ).where("session_id is not null")
+    return df.join(roots.select("folder", F.col("root").alias("cwd")), "folder", "left").select(*META)
+
+
+def session_meta_d(lines: DataFrame) -> DataFrame:
+    """The same for dialect D, from the first 30 and last 10 lines; the id is the opening line's, else the file's name, the title its own, else the start of the first user text."""
+    v = F.col("value")
+    near = _edges(lines, 30, 10).select("path", "line_no", "head", "tail", normal_time(F.coalesce(_j(v, "$.timestamp"), _j(v, "$.ts"))).alias("ts"), _j(v, "$.type").alias("type"), F.coalesce(_j(v, "$.id"), _j(v, "$.sessionId")).alias("id"), F.coalesce(_j(v, "$.cwd"), _j(v, "$.directory")).alias("cwd"), _j(v, "$.title").alias("own"), _j(v, "$.message.role").alias("r1"), _j(v, "$.role").alias("r2"), _j(v, "$.message.content").alias("c1"), _j(v, "$.content").alias("c2"))
+    c, head = F.col, F.col("head")
+    opened = head & c("type").isin("session", "init")
+    nested = F.coalesce(c("type") == "message", F.lit(False))
+    content = F.when(nested, c("c1")).otherwise(c("c2"))
+    text = F.nullif(F.when(_is(content, "["), _text_blocks(content)).otherwise(content), F.lit(""))
+    meta = near.groupBy("path").agg(
+        _last(c("id"), opened).alias("id"), _last(c("cwd"), opened).alias("cwd"), _last(F.nullif(c("own"), F.lit("")), opened).alias("own"),
+        _first(c("ts"), head).alias("started_at"), _last(c("ts"), c("tail")).alias("ended_at"), F.left(_first(text, head & (F.when(nested, c("r1")).otherwise(c("r2")) == "user")), F.lit(80)).alias("asked"),
+    )
+    return meta.select("path", F.coalesce("id", session_of(F.col("path"))).alias("session_id"), "started_at", "ended_at", "cwd", F.coalesce("own", "asked").alias("title"))
+
+
+def available(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """(source, folder, available): the known sources and whether their folders are there."""
+    return spark.createDataFrame([(k, p, exists(spark, p)) for k, p in sorted(folders.items())], "source string, folder string, available boolean")
 
 
 def list_sessions(meta: DataFrame, project: str | None = None, after: str | None = None, limit: int | None = None) -> DataFrame:

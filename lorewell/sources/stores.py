@@ -7,6 +7,59 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lorewell.operators import rendering
+from lorewell.operators.records import matching
+from lorewell.operators.upserts import upsert
+from lorewell.store import remove
+
+
+class KeyedStore:
+    """Records by id in Parquet under a path: episodes, patterns, skills, or any other.
+
+    A change writes the next version of the table and then its marker; readers take the last marked version, so a
+    failed change leaves the one before. The version before that is removed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "id"):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+
+    def _versions(self) -> list[int]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = files.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v=*/_SUCCESS"))
+        return sorted(int(f.getPath().getParent().getName()[2:]) for f in (found or []))
+
+    def table(self) -> DataFrame | None:
+        """All records; None before the first were saved."""
+        versions = self._versions()
+        return self.spark.read.parquet(f"{self.path}/v={versions[-1]}") if versions else None
+
+    def save(self, rows: DataFrame) -> None:
+        """Adds records, and replaces those of the same id; of repeated ids in ``rows`` one counts."""
+        rows, old, versions = rows.dropDuplicates([self.key]), self.table(), self._versions()
+        (rows if old is None else upsert(old, rows, self.key)).write.parquet(f"{self.path}/v={versions[-1] + 1 if versions else 0}")
+        for v in versions[:-1]:
+            remove(self.spark, f"{self.path}/v={v}")
+
+    def update(self, ids: list[str], **values) -> None:
+        """Sets columns of existing records; an id that does not exist is an error."""
+        hit = self.table().where(F.col(self.key).isin(ids)) if self._versions() else None
+        if hit is None or hit.count() < len(set(ids)):
+            raise KeyError(f"not all of {ids} exist")
+        self.save(hit.withColumns({k: F.lit(v).cast(dict(hit.dtypes)[k]) for k, v in values.items()}))
+
+    def delete(self, ids: list[str]) -> None:
+        """Removes records, such as the marks of sessions that are to be read again; unknown ids do not matter."""
+        versions = self._versions()
+        if versions:
+            self.table().where(~F.col(self.key).isin(ids)).write.parquet(f"{self.path}/v={versions[-1] + 1}")
+
+    def get(self, record: str) -> DataFrame:
+        """The record of an id, or no row."""
+        return self.table().where(F.col(self.key) == record)
+
+    def list(self, **wanted) -> DataFrame:
+        """The records equal in every given field."""
+        return matching(self.table(), **wanted)
 
 
 def save_episodes(eps: DataFrame, path: str, mode: str = "overwrite") -> None:

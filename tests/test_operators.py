@@ -103,10 +103,47 @@ def test_components_against_search(spark):
 
 
 def test_merge_plan(spark):
-    recs = spark.createDataFrame([("a", "short", 0.9, ["x", "y"]), ("b", "much longer", 0.1, ["y", "z"]), ("c", "much longer", 0.1, None)], "id string, recommendation string, confidence double, triggers array<string>")
-    plan = clusters.merge_plan(recs, spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a")], "id string, component string"))
-    assert {r.id: (r.role, r.primary_id) for r in plan.collect()} == {"a": ("merge", "b"), "b": ("keep", "b"), "c": ("merge", "b")}
-    assert [r.value for r in clusters.merged_values(recs, plan, "triggers").orderBy("place").collect()] == ["y", "z", "x"]
+    schema = "id string, status string, recommendation string, confidence double, triggers array<string>, source_episode_ids array<string>, evidence array<string>, apply_when array<string>"
+    recs = spark.createDataFrame([("a", "active", "short", 0.9, ["x", "y"], ["e1"], None, []), ("b", "active", "much longer", 0.1, ["y", "z", None], ["e2"], ["q"], None), ("c", "active", "much longer", 0.1, None, ["e1"], ["q"], ["w"]), ("d", "active", "x", None, ["t"], None, None, None)], schema)
+    whole = clusters.clustered(recs, spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "id_a string, id_b string"))
+    assert {tuple(r) for r in whole.collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d")}
+    plan = {r.id: r for r in clusters.merge_plan(recs, whole).collect()}
+    assert {k: (r.role, r.primary_id, r.status) for k, r in plan.items()} == {"a": ("merge", "b", "deprecated"), "b": ("keep", "b", "active"), "c": ("merge", "b", "deprecated")}
+    b = plan["b"]
+    assert (b.triggers, b.source_episode_ids, b.evidence, b.apply_when) == (["y", "z", "x"], ["e2", "e1"], ["q"], ["w"]) and plan["a"].triggers == ["x", "y"]
+
+
+def test_copies_below_the_threshold_are_not_linked(spark):
+    rows = [("a", "global", "the", None, "alpha beta", ""), ("b", "global", "the", None, "alpha beta", ""), ("c", "global", "Long Title Words", ["t"], "alpha beta", "p"), ("d", "global", "Long Title Words", ["t"], "alpha beta", "p")]
+    x = spark.createDataFrame(rows, "id string, scope string, title string, triggers array<string>, recommendation string, problem string")
+    assert [tuple(r) for r in retrieval.linked_copies(x).collect()] == [("c", "d")]
+
+
+def test_best_matches(spark):
+    schema = "id string, title string, triggers array<string>, recommendation string, problem string"
+    old = spark.createDataFrame([("x", "cache build output", ["cache"], "cache the output folder", "slow builds"), ("y", "retry network calls", ["retry"], "retry with backoff", "flaky network"), ("z", "cache build output", ["cache"], "cache the output folder", "slow builds"), ("n", None, None, None, None)], schema)
+    new = spark.createDataFrame([("c1", "caching build outputs", ["cache"], "cache output", "slow build"), ("c2", "unrelated thing", None, None, None), ("c3", None, None, None, None)], schema)
+    got = {r.id: (r.match_id, r.score >= 0.4) for r in retrieval.best_matches(new, old).collect()}
+    assert got == {"c1": ("x", True)}
+    assert retrieval.best_matches(new.limit(0), old).count() == 0 == retrieval.best_matches(new, old.limit(0)).count()
+
+
+def test_last_processed_by_start(spark):
+    rows = [("a", "/P/x", "2026-03-01 10:00:00", 9), ("b", "/p/X", "03/02/2026 9:00:00 AM", 1), ("c", "/p/x", None, 99), ("d", None, "garbage", 5), ("e", "", "1767225600", 2), ("b", "/p/X", "2026-01-01T00:00:00Z", 0)]
+    refs = spark.createDataFrame(rows, "id string, project_path string, started_at string, mtime_ms long")
+    assert {r.project: (r.last_session_id, r.sessions) for r in upserts.last_processed(refs).collect()} == {"/p/x": ("b", 3), "default": ("e", 2)}
+
+
+def test_marker_only_moves_on(spark):
+    marks = spark.createDataFrame([("p", "s1", 100), ("q", "s2", 50)], "project string, session_id string, started_ms long")
+    done = spark.createDataFrame([("p", "early", 99), ("q", "same", 50), ("r", "new", None)], "project string, session_id string, started_ms long")
+    assert {r.project: (r.session_id, r.started_ms) for r in upserts.advanced_marker(marks, done).collect()} == {"p": ("s1", 100), "q": ("same", 50), "r": ("new", 0)}
+
+
+def test_search_words(spark):
+    df = spark.createDataFrame([("1", "alpha"), ("2", "beta")], "id string, title string")
+    ids = lambda q: [r.id for r in records.search_any(df, q, ["title"]).orderBy("id").collect()]
+    assert ids("alpha  zzz") == ["1"] and ids("ALPHA\tbeta") == ["1", "2"] and ids("") == ["1", "2"] and ids(" zzz") == ["1", "2"]
 
 
 MSG = "message_id long, session_id string, seq long, line_no long, role string, content string, tool_name string, tool_input string, tool_output string, ts string, ingested_at timestamp"
@@ -129,8 +166,11 @@ def test_session_mapping(spark):
     eps = {r.session_id: r for r in transcripts.session_episodes(d).collect()}
     assert {k: r.status for k, r in eps.items()} == {"a": "success", "c": "partial", "d": "partial"}
     assert len(eps["a"].description) == 500 and eps["a"].n_messages == 7 and eps["a"].n_steps == 2 and eps["a"].result == "done"
-    steps = [(r.step_no, r.action, r.output, r.error) for r in transcripts.steps(d).orderBy("step_no").collect()]
-    assert steps == [(0, "Read", "fine", "an Error here"), (1, "Edit", None, None)]
+    steps = [(r.session_id, r.step_no, r.action, r.output, r.error) for r in transcripts.steps(d).orderBy("session_id", "step_no").collect()]
+    assert steps == [("a", 0, "Read", "fine", "an Error here"), ("a", 1, "Edit", None, None), *[(k, 0, "conversation", None, None) for k in "bcd"]]
+    deltas = spark.createDataFrame([("a", 1, 0, 2), ("a", 2, 4, 7), ("a", 2, 4, 7), ("zz", 1, 0, 9)], "session_id string, delta_number int, line_start long, line_end long")
+    got = {(r.session_id, r.delta_number): (r.description[:40], r.status, r.n_steps, r.n_messages) for r in transcripts.delta_episodes(deltas, d).collect()}
+    assert got == {("a", 1): ("x" * 40, "partial", 0, 2), ("a", 2): ("<continuation of session a, delta 2>", "success", 1, 3)}
 
 
 def test_incremental(spark):
@@ -163,14 +203,31 @@ def test_upserts(spark):
     assert {r.id: r.title for r in merged.collect()} == {"a": "t", "b": "n", "c": "n"}
 
 
-def test_managed_section():
-    make = rendering.managed_section
-    new, what = make(None, "x")
-    assert what == "created"
-    assert make(new, "x") == (new, "unchanged")
-    text, what = make("# Mine\nsays <!-- learned:start --> inline\n", "x")
-    assert what == "updated" and text.startswith("# Mine\nsays <!-- learned:start --> inline\n\n<!-- learned:start -->\nx\n")
-    assert make(text, "y")[0] == text.replace("\nx\n", "\ny\n")
+def test_managed_section(spark):
+    R = rendering
+    docs = [("none", None), ("blank", " \n"), ("inline", f"# Mine\nsays {R.START} inline\n"), ("new", f"a\n  {R.START}\nold $1 \\ text\n{R.END} \nb"), ("older", f"{R.OLD_START}\nx\n{R.OLD_END}\n"), ("same", f"k\n{R.START}\nthe $content\\\n{R.END}")]
+    df = spark.createDataFrame([(t, d, "the $content\\", 1, 0) for t, d in docs], "target string, document string, content string, experiences long, skills long")
+    got = {r.target: (r.document, r.action) for r in R.synced(df).collect()}
+    block = f"{R.START}\nthe $content\\\n{R.END}"
+    assert got == {
+        "none": (block + "\n", "created"), "blank": (block + "\n", "created"), "inline": (f"# Mine\nsays {R.START} inline\n\n{block}\n", "updated"),
+        "new": (f"a\n{block}\nb", "updated"), "older": (block + "\n", "updated"), "same": (docs[5][1], "unchanged"),
+    }
+    assert [r.s for r in df.where("target in ('new', 'inline')").orderBy("target").select(R.read_section(F.col("document")).alias("s")).collect()] == [None, "old $1 \\ text"]
+    empty = df.withColumn("experiences", F.lit(0))
+    assert {r.action for r in R.synced(empty).collect()} == {"unchanged"}
+
+
+def test_prompts_without_anything(spark):
+    tasks = spark.createDataFrame([("t",)], "task_id string")
+    ranked = spark.createDataFrame([], "task_id string, rank int, experience_id string")
+    exps = spark.createDataFrame([("x", "A < B", "do & so", ["w"], ["never"])], "id string, title string, recommendation string, apply_when array<string>, avoid array<string>")
+    none = spark.createDataFrame([], "id string, name string, description string")
+    assert rendering.prompt_markdown(tasks, ranked, exps, none).first().markdown == ""
+    assert rendering.prompt_xml(tasks, ranked, exps).first().xml == "<context>\n</context>"
+    hit = spark.createDataFrame([("t", 1, "x")], "task_id string, rank int, experience_id string")
+    assert rendering.prompt_markdown(tasks, hit, exps).first().markdown == "## Relevant Past Experiences\n\n### 1. A < B\n\n**When:** w\n\n**Do:** do & so\n\n**Not:** never\n"
+    assert '<experience title="A &lt; B">' in rendering.prompt_xml(tasks, hit, exps).first().xml
 
 
 def test_records(spark):

@@ -46,18 +46,18 @@ def test_dialect_b(spark, tmp_path):
     sid = "0f8fad5b-d9cb-469f-a165-70867728950e"
     write(tmp_path / f"rollout-{sid}.jsonl", [
         {"type": "session_meta", "payload": {"id": sid, "cwd": "/w"}}, {"type": "response_item", "timestamp": 1767225600, "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "hello"}]}},
-        {"type": "response_item", "payload": {"type": "function_call", "name": "read_file", "arguments": "{}"}}, {"type": "response_item", "payload": {"type": "function_call_output", "output": "text"}},
+        {"type": "response_item", "payload": {"type": "function_call", "name": "fetch_page", "arguments": "{}"}}, {"type": "response_item", "payload": {"type": "function_call_output", "output": "text"}},
         {"type": "response_item", "payload": {"type": "message", "role": "assistant", "content": {"text": "done"}}}, "nonsense",
     ])
     rows = dialects.parse_b(dialects.read_lines(spark, str(tmp_path)))
-    assert said(rows) == [("user", "hello"), ("tool_use", "read_file"), ("tool_result", ""), ("assistant", "done")]
+    assert said(rows) == [("user", "hello"), ("tool_use", "fetch_page"), ("tool_result", ""), ("assistant", "done")]
     assert rows.orderBy("line_no").first().session_id == sid and rows.orderBy("line_no").first().ts == "2026-01-01T00:00:00.000Z"
 
 
 def test_dialect_c(spark, tmp_path):
-    doc = {"sessionId": "g", "messages": [{"type": "user", "content": "q", "timestamp": "1767225600000"}, {"type": "info", "content": "x"}, {"type": "gemini", "content": "a", "toolCalls": [{"name": "read_file"}]}, {"type": "gemini", "content": ""}]}
+    doc = {"sessionId": "g", "messages": [{"type": "user", "content": "q", "timestamp": "1767225600000"}, {"type": "info", "content": "x"}, {"type": "gemini", "content": "a", "toolCalls": [{"name": "fetch_page"}]}, {"type": "gemini", "content": ""}]}
     (tmp_path / "c.json").write_text(json.dumps(doc, indent=1))
-    assert said(dialects.parse_c(dialects.read_documents(spark, str(tmp_path)))) == [("user", "q"), ("assistant", "a\n[Tool: read_file]")]
+    assert said(dialects.parse_c(dialects.read_documents(spark, str(tmp_path)))) == [("user", "q"), ("assistant", "a\n[Tool: fetch_page]")]
 
 
 def test_dialect_d(spark, tmp_path):
@@ -65,6 +65,65 @@ def test_dialect_d(spark, tmp_path):
     assert said(dialects.parse_d(dialects.read_lines(spark, str(tmp_path)))) == [("user", "q"), ("assistant", "a\nb")]
 
 
+def test_listing_b(spark, tmp_path):
+    sid = "0f8fad5b-d9cb-469f-a165-70867728950e"
+    ask = {"type": "response_item", "timestamp": "2026-01-01T00:00:01Z", "payload": {"type": "message", "role": "user", "content": "a question " * 20}}
+    write(tmp_path / "sessions/2026/r1.jsonl", [{"type": "session_meta", "timestamp": "2026-01-01T00:00:00Z", "payload": {"id": "one", "cwd": "/w"}}, "broken", ask, {"timestamp": 1767225700, "type": "x"}])
+    write(tmp_path / "archived_sessions/r2.jsonl", [{"type": "session_meta", "payload": {"id": "sub", "source": {"subagent": {}}}}, ask])
+    write(tmp_path / f"archived_sessions/rollout-{sid}.jsonl", [ask])
+    write(tmp_path / "sessions/nameless.jsonl", [ask])
+    lines = dialects.read_lines(spark, [str(tmp_path / "sessions"), str(tmp_path / "archived_sessions"), str(tmp_path / "missing")])
+    got = {r.session_id: r for r in dialects.session_meta_b(lines).collect()}
+    assert set(got) == {"one", sid}
+    assert (got["one"].cwd, got["one"].started_at, got["one"].ended_at, got["one"].title) == ("/w", "2026-01-01T00:00:00Z", "2026-01-01T00:01:40.000Z", ("a question " * 20)[:80])
+    assert dialects.read_lines(spark, str(tmp_path / "missing")).count() == 0
+    assert [r.session_id for r in dialects.list_sessions(dialects.session_meta_b(lines), limit=1).collect()] == [sid]
+
+
+def test_listing_c(spark, tmp_path):
+    for project, root in (("p1", " /work/one \n"), ("p2", None)):
+        (tmp_path / f"tmp/{project}/chats").mkdir(parents=True)
+        if root:
+            (tmp_path / f"tmp/{project}/.project_root").write_text(root)
+        (tmp_path / f"tmp/{project}/chats/a.json").write_text(json.dumps({"sessionId": project, "startTime": 1767225600000, "lastUpdated": "2026-01-02T00:00:00Z", "messages": [{"type": "user", "content": " "}, {"type": "user", "content": "first"}]}))
+        (tmp_path / f"tmp/{project}/chats/b.json").write_text("{}")
+    at = str(tmp_path / "tmp")
+    got = {r.session_id: (r.cwd, r.started_at, r.ended_at, r.title) for r in dialects.session_meta_c(dialects.read_documents(spark, at), dialects.project_roots(spark, at)).collect()}
+    assert got == {"p1": ("/work/one", "2026-01-01T00:00:00.000Z", "2026-01-02T00:00:00Z", "first"), "p2": (None, "2026-01-01T00:00:00.000Z", "2026-01-02T00:00:00Z", "first")}
+
+
+def test_listing_d(spark, tmp_path):
+    write(tmp_path / "h1.jsonl", [{"type": "init", "id": "own", "directory": "/d", "title": "T", "ts": 1767225600}, {"role": "user", "content": "q", "timestamp": "2026-01-01T05:00:00Z"}, ""])
+    write(tmp_path / "h2.jsonl", [{"type": "message", "message": {"role": "user", "content": [{"type": "text", "text": "asked"}]}}])
+    got = {r.session_id: (r.cwd, r.started_at, r.ended_at, r.title) for r in dialects.session_meta_d(dialects.read_lines(spark, str(tmp_path))).collect()}
+    assert got == {"own": ("/d", "2026-01-01T00:00:00.000Z", "2026-01-01T05:00:00Z", "T"), "h2": (None, None, None, "asked")}
+    there = dialects.available(spark, {"d": str(tmp_path), "x": str(tmp_path / "none")}).collect()
+    assert [(r.source, r.available) for r in there] == [("d", True), ("x", False)]
+
+
+def test_ends_of_a_long_file(spark):
+    rows = [("f", k, json.dumps({"timestamp": f"t{k:05d}"}) if k % 3 else " ") for k in range(5000)]
+    r = dialects.session_meta(spark.createDataFrame(rows, "path string, line_no int, value string")).first()
+    assert (r.started_at, r.ended_at, r.line_count) == ("t00001", "t04999", 5000)
+
+
+def test_keyed_store(spark, tmp_path):
+    import pytest
+
+    s = stores.KeyedStore(spark, str(tmp_path / "skills"))
+    assert s.table() is None
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, status string, n int")
+    s.save(rows(("a", "draft", 1), ("b", "draft", 1)))
+    s.save(rows(("b", "draft", 2), ("c", "draft", 3)))
+    s.update(["a"], status="active")
+    assert {r.id: (r.status, r.n) for r in s.table().collect()} == {"a": ("active", 1), "b": ("draft", 2), "c": ("draft", 3)}
+    assert [r.n for r in s.get("b").collect()] == [2] and s.get("zz").count() == 0 and [r.id for r in s.list(status="active", n=None).collect()] == ["a"]
+    with pytest.raises(KeyError):
+        s.update(["zz"], status="active")
+    s.delete(["a", "zz"])
+    assert {r.id for r in stores.KeyedStore(spark, s.path).table().collect()} == {"b", "c"}
+
+
 def test_stores(spark, tmp_path):
     eps = spark.createDataFrame([("a", "2025-12-31T00:00:00Z"), ("b", "2026-02-01T00:00:00Z"), ("c", None)], "id string, started_at string")
     at = str(tmp_path / "eps")
