@@ -155,5 +155,5 @@ def synced(targets: DataFrame) -> DataFrame:
     ``created`` where the document was empty.
     """
     same = (F.col("experiences") + F.col("skills") == 0) | F.coalesce(read_section(F.col("document")) == F.regexp_replace("content", r"\A\s+|\s+\z", ""), F.lit(False))
-    action = F.when(same, "unchanged").when(F.trim(F.coalesce("document", F.lit(""))) == "", "created").otherwise("updated")
+    action = F.when(same, "unchanged").when(F.coalesce(F.col("document"), F.lit("")).rlike(r"\A\s*\z"), "created").otherwise("updated")
     return targets.select("target", F.when(same, F.col("document")).otherwise(written_section(F.col("document"), F.col("content"))).alias("document"), action.alias("action"))

@@ -50,10 +50,23 @@ def read_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> D
 
 
 def project_roots(spark: SparkSession, path: str) -> DataFrame:
-    """(folder, root): what the root file of each project folder says, without white space around it; empty files give none."""
-    files = _files(spark, [path], ROOT_FILE)
-    root = F.regexp_replace("value", r"\A\s+|\s+\z", "")
-    return files.select(F.regexp_replace("path", r"/[^/]+\z", "").alias("folder"), root.alias("root")).where("root <> ''")
+    """(folder, root): what the root file of each project folder says, without white space around it; empty files give none.
+
+    File sources pass over names that begin with a dot, so these one-line files, one a project, are opened like a
+    listing, through the file system; sessions are not touched.
+    """
+    jvm, out = spark._jvm, []
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/*/{ROOT_FILE}")) or []:
+        stream = files.open(found.getPath())
+        try:
+            root = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+        finally:
+            stream.close()
+        if root:
+            out.append((found.getPath().getParent().toString(), root))
+    return spark.createDataFrame(out, "folder string, root string")
 
 
 def session_of(path: Column) -> Column:
@@ -221,7 +234,9 @@ def session_meta_c(documents: DataFrame, roots: DataFrame) -> DataFrame:
         "path", F.regexp_extract("path", rf"\A(.*)/{CHATS}/[^/]+\z", 1).alias("folder"), _j(v, "$.sessionId").alias("session_id"), normal_time(_j(v, "$.startTime")).alias("started_at"),
         normal_time(_j(v, "$.lastUpdated")).alias("ended_at"), F.left(_j(F.get(asked, F.lit(0)), "$.content"), F.lit(80)).alias("title"),
     ).where("session_id is not null")
-    return df.join(roots.select("folder", F.col("root").alias("cwd")), "folder", "left").select(*META)
+    # One file system names a folder with two or three slashes after its scheme.
+    plain = lambda c: F.regexp_replace(c, r"^file:/+", "file:/")
+    return df.withColumn("folder", plain("folder")).join(roots.select(plain("folder").alias("folder"), F.col("root").alias("cwd")), "folder", "left").select(*META)
 
 
 def session_meta_d(lines: DataFrame) -> DataFrame:
