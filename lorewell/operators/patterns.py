@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorewell.functions import text as T
 from lorewell.operators.prefix import running
 
+# When a pattern is promoted.
 MIN_SUPPORT, MIN_SUCCESS = 3, 0.6
 
 

@@ -11,6 +11,7 @@ from lorewell.store import cut
 TOP_K = 5
 #: Tasks of one block; the bound on what is sent to every executor at a time.
 BLOCK = 5_000
+# The weights of the fields and the least similarity.
 WEIGHTS = {"title": 0.4, "triggers": 0.25, "recommendation": 0.2, "problem": 0.15}
 THRESHOLD = 0.32
 
@@ -67,32 +68,16 @@ def similarity(a: str, b: str) -> Column:
     )
 
 
-def size_bound(a: str, b: str) -> Column:
-    """The most that the sizes of the sets alone allow the similarity to be."""
-    total = F.lit(0.0)
-    for field, weight in WEIGHTS.items():
-        m, n = F.size(F.col(f"{a}.{field}")), F.size(F.col(f"{b}.{field}"))
-        most = F.least(m, n) / F.greatest(m, n, F.lit(1)) if field == "triggers" else 2.0 * F.least(m, n) / F.greatest(m + n, F.lit(1))
-        total = total + weight * most
-    return total
-
-
 def most_similar(records: DataFrame, queries: DataFrame, k: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(query_id, rank, id, score): per query its ``k`` most similar other records of at least the threshold.
+    """(query_id, rank, id, score): per query its ``k`` most similar other records of at least the threshold, of equals the smallest id.
 
-    Queries are a stated set and go out in blocks of at most ``BLOCK``; the size bound cuts most pairs before
-    any set is intersected.
+    Queries are a stated set of any size. Both sides are indexed in one order of entries and meet on them (see
+    ``similar_pairs``); nothing is broadcast and no pair is looked at that shares no entry.
     """
-    sets, q = token_sets(records), token_sets(queries)
-    blocks = max(1, -(-q.count() // BLOCK))
-    out = None
-    for b in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        met = sets.alias("r").join(F.broadcast(part.alias("q")), (F.col("r.id") != F.col("q.id")) & (size_bound("r", "q") >= threshold))
-        scored = met.select(F.col("q.id").alias("query_id"), F.col("r.id").alias("id"), F.round(similarity("r", "q"), 6).alias("score")).where(F.col("score") >= threshold)
-        out = scored if out is None else out.unionByName(scored)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    scored = _across(queries, records, threshold).where("id_a <> id_b")
+    w = Window.partitionBy("id_a").orderBy(F.desc("score"), "id_b")
+    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.select(F.col("id_a").alias("query_id"), "rank", F.col("id_b").alias("id"), "score")
 
 
 # What one shared token of a field adds at most to the similarity of records of usual size; only orders the index.
@@ -160,18 +145,22 @@ def linked_copies(records: DataFrame, threshold: float = THRESHOLD, scope: str =
     return copies_of(records, scope).where((F.col("id") != F.col("class_id")) & (F.round(own, 6) >= threshold)).select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"))
 
 
-def best_matches(records: DataFrame, others: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """(id, match_id, score): for each record the most similar of ``others`` of at least the threshold, of equals the smallest id.
+def _across(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(id_a, id_b, score) of all pairs of the two tables of at least the threshold.
 
     Both sides are indexed in the same order of entries, so the argument of ``similar_pairs`` holds across them.
     """
-    left, right = cut(token_sets(records), "match-left"), cut(token_sets(others), "match-right")
-    p, q = _postings(left, []), _postings(right, [])
+    x, y = cut(token_sets(left), "match-left"), cut(token_sets(right), "match-right")
+    p, q = _postings(x, []), _postings(y, [])
     df = p.select("field", "token").unionByName(q.select("field", "token")).groupBy("field", "token").agg(F.count("*").alias("df"))
     a, b = _indexed(p, [], threshold, df).alias("a"), _indexed(q, [], threshold, df).alias("b")
     met = a.join(b, (F.col("a.entry") == F.col("b.entry")) & (_size_bound() >= threshold - 1e-6)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    scored = _scored(met, left, right, [], threshold)
-    best = scored.groupBy(F.col("id_a").alias("id")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id_b").alias("match_id"))).alias("m"))
+    return _scored(met, x, y, [], threshold)
+
+
+def best_matches(records: DataFrame, others: DataFrame, threshold: float = 0.4) -> DataFrame:
+    """(id, match_id, score): for each record the most similar of ``others`` of at least the threshold, of equals the smallest id."""
+    best = _across(records, others, threshold).groupBy(F.col("id_a").alias("id")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id_b").alias("match_id"))).alias("m"))
     return best.select("id", "m.match_id", (-F.col("m.s")).alias("score"))
 
 
