@@ -95,14 +95,14 @@ def _judged(session_refs: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def conversations(session_refs: DataFrame, messages: DataFrame) -> DataFrame:
-    """The messages of all sessions that are kept: (session_id, seq, role, content, sent), one row per seq.
+    """The messages of all sessions that are kept: (session_id, seq, role, content, sent_ms), one row per seq; ``sent_ms`` is when it was ingested.
 
     Of repeated deliveries the first is taken. Rows are ordered by (session_id, seq), which is unique.
     """
     # Kept sessions are listed once per run of messages, so rows meet them under (session, run) and a long session is spread out.
     keep = _judged(session_refs, messages).where("reason is null")
     keep = keep.select("session_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("high") / RUN))).alias("run"))
-    first = F.min_by(F.struct(role().alias("role"), "content", F.col("ingested_at").alias("sent")), F.struct("ingested_at", "message_id"))
+    first = F.min_by(F.struct(role().alias("role"), "content", F.unix_millis("ingested_at").alias("sent_ms")), F.struct("ingested_at", "message_id"))
     sent = messages.where("session_id is not null and seq is not null").select("session_id", "seq", "role", "content", "ingested_at", "message_id", F.floor(F.col("seq") / RUN).alias("run"))
     rows = sent.join(keep, ["session_id", "run"], "left_semi").groupBy("session_id", "run", "seq").agg(first.alias("m"))
     return rows.select("session_id", "seq", "m.*")

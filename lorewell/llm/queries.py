@@ -160,6 +160,25 @@ _REPEATS = f"""
         lost AS (SELECT DISTINCT unnest(gone) AS pos FROM turns WHERE i = (SELECT max(i) FROM turns))
         SELECT DISTINCT least(new_id, old_id) AS id_a, greatest(new_id, old_id) AS id_b FROM s WHERE old_pos = 0 OR old_pos NOT IN (SELECT pos FROM lost)"""
 
+_SETS = """
+        w AS (SELECT id, list_sort(list_distinct(list_filter(string_split_regex(lower(concat_ws(' ', title, problem, recommendation)), '[^a-z0-9]+'), lambda x: x <> ''))) AS ws FROM experiences),
+        k AS (SELECT id, ws, min(id) OVER (PARTITION BY ws) AS class_id FROM w WHERE len(ws) > 0),
+        t AS (SELECT id, len(ws) AS n, unnest(ws) AS word FROM k WHERE id = class_id),
+        c AS (SELECT a.id AS id_a, b.id AS id_b, a.n + b.n AS total, count(*) AS shared FROM t a JOIN t b ON a.word = b.word AND a.id < b.id GROUP BY ALL),
+        v AS (SELECT id_a, id_b FROM c WHERE shared >= 0.6 * (total - shared) - 1e-9),
+        g AS (SELECT id_a AS a, id_b AS b FROM v UNION ALL SELECT id_b, id_a FROM v)"""
+# The entities that the posts hold, decoded; tags before them.
+_PLAIN = "regexp_replace(text, '<[^<>]*>|\\[[^\\[\\]]*\\]', ' ', 'g')"
+for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "`"), ("&#x27;", "`"), ("&apos;", "`"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_name}', '{_char}')"
+_WORDS = f"list_filter(string_split_regex(lower({_PLAIN}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_LEAKS = f"""
+        d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), e AS (SELECT item_id, {_WORDS} AS ws FROM eval_items),
+        x AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 11], ' ') AS p FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 10)) AS i FROM d)),
+        y AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 11], ' ') AS p FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 10)) AS i FROM e)),
+        l AS (SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (p))"""
+_SPELLED = "lower(trim(regexp_replace(role, '[\\s\\p{Z}]+', ' ', 'g')))"
+
 SQL = {
     "p2_found": f"""
         WITH m AS ({_ONE_EACH}), d AS (SELECT DISTINCT session_id, delta_number, line_start, line_end FROM deltas)
@@ -167,6 +186,14 @@ SQL = {
         GROUP BY d.session_id, d.delta_number HAVING sum(length(m.content)) > 3000""",
     "p3_found": _REPEATS,
     "p3_reopened": _REPEATS,
+    "p4_linked": f"""
+        WITH {_SETS}, n AS (SELECT a AS class_id, count(*) AS links FROM g GROUP BY a)
+        SELECT id, class_id, count(*) OVER (PARTITION BY class_id) AS copies, coalesce(links, 0) AS links FROM k LEFT JOIN n USING (class_id)""",
+    "p4_groups": f"""
+        WITH RECURSIVE {_SETS}, r(u, c) AS (SELECT class_id, class_id FROM k UNION SELECT g.b, r.c FROM r JOIN g ON g.a = r.u WHERE r.c < g.b), m AS (SELECT u, min(c) AS group_id FROM r GROUP BY u)
+        SELECT id, class_id, group_id FROM k JOIN m ON m.u = k.class_id""",
+    "p9_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM l",
+    "p9_kept": f"WITH {_LEAKS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM l)",
     "p4_found": """
         WITH w AS (SELECT id, list_distinct(list_filter(string_split_regex(lower(concat_ws(' ', title, problem, recommendation)), '[^a-z0-9]+'), lambda x: x <> '')) AS ws FROM experiences),
         t AS (SELECT id, len(ws) AS n, unnest(ws) AS word FROM w),
@@ -182,3 +209,9 @@ SQL = {
         SELECT s.session_id FROM s LEFT JOIN shape USING (session_id) LEFT JOIN turns USING (session_id)
         WHERE shape.n IS NULL OR low <> 0 OR n <> high + 1 OR t IS NULL OR NOT contains(t, 'U') OR NOT contains(t, 'A') OR contains(t, 'UU') OR t LIKE '%U'""",
 }
+
+SQL["p5_conversations"] = f"""
+        WITH dropped AS ({SQL["p5_found"]}), kept AS (SELECT DISTINCT id AS session_id FROM session_refs WHERE id NOT IN (SELECT session_id FROM dropped)),
+        f AS (SELECT session_id, seq, arg_min({{"role": role, "content": content, "sent_ms": epoch_ms(ingested_at)}}, (ingested_at, message_id)) AS m FROM messages SEMI JOIN kept USING (session_id) GROUP BY session_id, seq)
+        SELECT session_id, seq, CASE WHEN {_SPELLED.replace("role", "m.role")} IN ('user', 'human') THEN 'user' WHEN {_SPELLED.replace("role", "m.role")} IN ('assistant', 'model', 'ai', 'gemini') THEN 'assistant' ELSE {_SPELLED.replace("role", "m.role")} END AS role,
+            m.content AS content, m.sent_ms AS sent_ms FROM f"""
