@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
+from lorewell.operators import overlaps
 from lorewell.store import cut
 
 TOP_K = 5
@@ -71,8 +72,8 @@ def similarity(a: str, b: str) -> Column:
 def most_similar(records: DataFrame, queries: DataFrame, k: int, threshold: float = THRESHOLD) -> DataFrame:
     """(query_id, rank, id, score): per query its ``k`` most similar other records of at least the threshold, of equals the smallest id.
 
-    Queries are a stated set of any size. Both sides are indexed in one order of entries and meet on them (see
-    ``similar_pairs``); nothing is broadcast and no pair is looked at that shares no entry.
+    Queries are a stated set of any size. Both sides meet in blocks (see ``overlaps``); nothing is broadcast and no
+    pair is looked at that shares no indexed word.
     """
     scored = _across(queries, records, threshold).where("id_a <> id_b")
     w = Window.partitionBy("id_a").orderBy(F.desc("score"), "id_b")
@@ -80,82 +81,60 @@ def most_similar(records: DataFrame, queries: DataFrame, k: int, threshold: floa
     return top.select(F.col("id_a").alias("query_id"), "rank", F.col("id_b").alias("id"), "score")
 
 
-# What one shared token of a field adds at most to the similarity of records of usual size; only orders the index.
-_USUAL = {"title": 0.13, "triggers": 0.08, "recommendation": 0.016, "problem": 0.012}
+#: Last: what one shared token of a field adds at most to the similarity of records of usual size; only orders the index.
+_FIELDS = overlaps.Weights({f: (WEIGHTS[f], f == "triggers", usual) for f, usual in (("title", 0.13), ("triggers", 0.08), ("recommendation", 0.016), ("problem", 0.012))})
 
 
-def _indexed(postings: DataFrame, group: list[str], threshold: float, frequencies: DataFrame) -> DataFrame:
-    """The entries under which a record must be met: all but the longest run of its first ones that alone could not reach the threshold."""
-    fields = list(WEIGHTS)
-    usual = F.create_map(*[F.lit(x) for kv in _USUAL.items() for x in kv])
-    rated = postings.join(frequencies, ["field", "token"]).withColumn("rate", F.col("df") / usual[F.col("field")])
-    so_far = Window.partitionBy(*group, "id").orderBy(F.desc("rate"), "field", "token").rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.lit(0.0)
-    for f in fields:
-        c, n = F.count_if(F.col("field") == f).over(so_far), F.col(f"n_{f}")
-        reach = reach + WEIGHTS[f] * (c / F.greatest(n, F.lit(1)) if f == "triggers" else 2.0 * c / F.greatest(n + c, F.lit(1)))
-    return rated.withColumn("reach", reach).where(F.col("reach") >= threshold - 1e-6).select(*group, "id", F.xxhash64("field", "token").alias("entry"), *[f"n_{f}" for f in fields])
-
-
-def _postings(sets: DataFrame, group: list[str]) -> DataFrame:
-    def posted(field: str) -> Column:
-        return F.transform(field, lambda token: F.struct(F.lit(field).alias("field"), token.alias("token")))
-
-    return sets.select(*group, "id", *[F.size(f).alias(f"n_{f}") for f in WEIGHTS], F.inline(F.flatten(F.array(*[posted(f) for f in WEIGHTS]))))
-
-
-def _size_bound() -> Column:
-    bound = F.lit(0.0)
-    for f, weight in WEIGHTS.items():
-        m, n = F.col(f"a.n_{f}"), F.col(f"b.n_{f}")
-        bound = bound + weight * (F.least(m, n) / F.greatest(m, n, F.lit(1)) if f == "triggers" else 2.0 * F.least(m, n) / F.greatest(m + n, F.lit(1)))
-    return bound
+def _scored(met: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of at least the threshold, with ``score``."""
+    total = None
+    for k, f in enumerate(_FIELDS.names):
+        common, n, m = (F.get(c, F.lit(k)) for c in ("common", "sizes_a", "sizes_b"))
+        part = F.when(F.greatest(n, m) > 0, common / F.greatest(n, m)) if f == "triggers" else F.when((n > 0) & (m > 0), 2.0 * common / (n + m))
+        total = WEIGHTS[f] * part.otherwise(0.0) if total is None else total + WEIGHTS[f] * part.otherwise(0.0)
+    return met.withColumn("score", F.round(total, 6)).where(F.col("score") >= threshold)
 
 
 def similar_pairs(records: DataFrame, threshold: float = THRESHOLD, scope: str = "scope") -> DataFrame:
     """(scope, id_a, id_b, score): pairs of one scope of at least the threshold, smaller id first.
 
     Records of equal token sets form a class and meet once, through their smallest id; ``copies_of`` tells the
-    class of each. The search is exact. All (field, token) entries have one global order, the frequent and
-    light ones first. A record leaves out of the index the longest run of its first entries that alone could
-    not reach the threshold with any partner; the last common entry of a similar pair is in neither run, so the
-    pair meets in the index. Pairs within the size bound are verified on their sets.
+    class of each. The search is exact.
     """
-    classes = cut(copies_of(records, scope).where("id = class_id").drop("class_id"), "similar-classes")
-    postings = _postings(classes, [scope])
-    index = cut(_indexed(postings, [scope], threshold, postings.groupBy("field", "token").agg(F.count("*").alias("df"))), "similar-index")
-    a, b = index.alias("a"), index.alias("b")
-    met = a.join(b, (F.col(f"a.{scope}") == F.col(f"b.{scope}")) & (F.col("a.entry") == F.col("b.entry")) & (F.col("a.id") < F.col("b.id")) & (_size_bound() >= threshold - 1e-6))
-    met = met.select(F.col(f"a.{scope}").alias(scope), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    return _scored(met, classes, classes, [scope], threshold)
+    return _class_pairs(_keyed(records, scope), threshold, scope)
 
 
-def _scored(met: DataFrame, left: DataFrame, right: DataFrame, keep: list[str], threshold: float) -> DataFrame:
-    x = left.select(F.col("id").alias("id_a"), F.struct(*WEIGHTS).alias("x"))
-    y = right.select(F.col("id").alias("id_b"), F.struct(*WEIGHTS).alias("y"))
-    scored = met.join(x, "id_a").join(y, "id_b").select(*keep, "id_a", "id_b", F.round(similarity("x", "y"), 6).alias("score"))
-    return scored.where(F.col("score") >= threshold)
+def _class_pairs(keyed: DataFrame, threshold: float, scope: str) -> DataFrame:
+    head = F.min_by(F.struct("id", *WEIGHTS), "id").alias("head")
+    classes = cut(keyed.groupBy(scope, "key").agg(head).select(scope, "head.*"), "similar-classes")
+    scored = _scored(overlaps.pairs(classes, None, _FIELDS, threshold, scope), threshold)
+    return scored.select(F.col("grp").alias(scope), "id_a", "id_b", "score")
 
 
 def linked_copies(records: DataFrame, threshold: float = THRESHOLD, scope: str = "scope") -> DataFrame:
     """(id_a, id_b): each record with its class, where records of its token sets reach the threshold with one another (a field without tokens adds nothing)."""
+    return _class_links(_keyed(records, scope), threshold, scope)
+
+
+def _class_links(keyed: DataFrame, threshold: float, scope: str) -> DataFrame:
     own = F.lit(0.0)
     for field, weight in WEIGHTS.items():
         own = own + F.when(F.size(field) > 0, weight).otherwise(0.0)
-    return copies_of(records, scope).where((F.col("id") != F.col("class_id")) & (F.round(own, 6) >= threshold)).select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"))
+    full = keyed.where(F.round(own, 6) >= threshold).select("id", scope, "key")
+    copies = full.join(_class_ids(full, scope), [scope, "key"]).where(F.col("id") != F.col("class_id"))
+    return copies.select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"))
 
 
-def _across(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(id_a, id_b, score) of all pairs of the two tables of at least the threshold.
+def links(records: DataFrame, threshold: float = THRESHOLD, scope: str = "scope") -> DataFrame:
+    """(id_a, id_b): the pairs of ``similar_pairs`` and the ``linked_copies``, from token sets that are made once."""
+    keyed = cut(_keyed(records, scope), "similar-sets")
+    return _class_pairs(keyed, threshold, scope).select("id_a", "id_b").unionByName(_class_links(keyed, threshold, scope))
 
-    Both sides are indexed in the same order of entries, so the argument of ``similar_pairs`` holds across them.
-    """
+
+def _across(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(id_a, id_b, score) of all pairs of the two tables of at least the threshold."""
     x, y = cut(token_sets(left), "match-left"), cut(token_sets(right), "match-right")
-    p, q = _postings(x, []), _postings(y, [])
-    df = p.select("field", "token").unionByName(q.select("field", "token")).groupBy("field", "token").agg(F.count("*").alias("df"))
-    a, b = _indexed(p, [], threshold, df).alias("a"), _indexed(q, [], threshold, df).alias("b")
-    met = a.join(b, (F.col("a.entry") == F.col("b.entry")) & (_size_bound() >= threshold - 1e-6)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    return _scored(met, x, y, [], threshold)
+    return _scored(overlaps.pairs(x, y, _FIELDS, threshold), threshold).select("id_a", "id_b", "score")
 
 
 def best_matches(records: DataFrame, others: DataFrame, threshold: float = 0.4) -> DataFrame:
@@ -164,10 +143,17 @@ def best_matches(records: DataFrame, others: DataFrame, threshold: float = 0.4)
     return best.select("id", "m.match_id", (-F.col("m.s")).alias("score"))
 
 
+def _keyed(records: DataFrame, scope: str) -> DataFrame:
+    """Token sets with ``key``: 128 bits that stand for all of them, so that equal sets meet without being shuffled (no token holds a space or bar)."""
+    key = F.concat_ws("|", *[F.array_join(F.array_sort(f), " ") for f in WEIGHTS])
+    return token_sets(records, keep=(scope,)).withColumn("key", F.unhex(F.md5(key)))
+
+
+def _class_ids(keyed: DataFrame, scope: str) -> DataFrame:
+    return keyed.groupBy(scope, "key").agg(F.min("id").alias("class_id"))
+
+
 def copies_of(records: DataFrame, scope: str = "scope") -> DataFrame:
     """Token sets with ``class_id``: the smallest id of the scope's records with the same sets."""
-    fields = list(WEIGHTS)
-    sets = token_sets(records, keep=(scope,))
-    key = [F.array_sort(f).alias(f"k_{f}") for f in fields]
-    ids = sets.select(scope, "id", *key).groupBy(scope, *[f"k_{f}" for f in fields]).agg(F.min("id").alias("class_id"))
-    return sets.select("*", *key).join(ids, [scope, *[f"k_{f}" for f in fields]]).select("id", scope, *fields, "class_id")
+    sets = _keyed(records, scope)
+    return sets.join(_class_ids(sets, scope), [scope, "key"]).select("id", scope, *WEIGHTS, "class_id")
