@@ -56,17 +56,24 @@ def merge_plan(records: DataFrame, clusters: DataFrame) -> DataFrame:
     The longest recommendation stays, of equals the most confident, then the smallest id; it keeps its status and
     gets the ordered union of each array, its own values first, then those of the others in the same order. The
     others become deprecated and keep their arrays. Aggregated, not ranked in one window, so a large cluster is
-    not gathered; only a union itself, which is one record's field, is one row.
+    not gathered; only a union itself, which is one record's field, is one row. The heads are chosen without the
+    arrays, only records of clusters carry theirs on, and a union meets its own record alone.
     """
     order = F.struct((-F.length(F.coalesce("recommendation", F.lit("")))).alias("n"), (-F.coalesce("confidence", F.lit(0.0))).alias("c"), "id")
-    rows = clusters.join(records.select("id", "status", order.alias("at"), *UNITED), "id")
-    heads = rows.groupBy("component").agg(F.min("at").alias("head"), F.count("*").alias("k")).where("k > 1").select("component", F.col("head.id").alias("primary_id"))
-    rows = rows.join(heads, "component")
-    out = rows.withColumn("first", F.col("id") == F.col("primary_id"))
-    for column in UNITED:
-        values = rows.select("primary_id", "at", F.posexplode(column).alias("k", "v")).where("v is not null")
-        firsts = values.groupBy("primary_id", "v").agg(F.min(F.struct("at", "k")).alias("place"))
-        united = firsts.groupBy("primary_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "v"))), lambda x: x["v"]).alias("united"))
-        none = F.expr("cast(array() as array<string>)")
-        out = out.join(united, "primary_id", "left").withColumn(column, F.when(F.col("first"), F.coalesce("united", none)).otherwise(F.coalesce(column, none))).drop("united")
-    return out.select("id", "component", "primary_id", F.when(F.col("first"), "keep").otherwise("merge").alias("role"), F.when(F.col("first"), F.col("status")).otherwise("deprecated").alias("status"), *UNITED)
+    ranked = clusters.join(records.select("id", order.alias("at")), "id")
+    heads = ranked.groupBy("component").agg(F.min("at").alias("head"), F.count("*").alias("k")).where("k > 1").select("component", F.col("head.id").alias("primary_id"))
+    members = cut(ranked.join(heads, "component"), "merge-members")
+    rows = cut(members.join(records.select("id", "status", *UNITED), "id"), "merge-rows")
+    values = [rows.select("primary_id", F.lit(k).alias("what"), "at", F.posexplode(column).alias("k", "v")).where("v is not null") for k, column in enumerate(UNITED)]
+    every = values[0]
+    for v in values[1:]:
+        every = every.unionByName(v)
+    firsts = every.groupBy("primary_id", "what", "v").agg(F.min(F.struct("at", "k")).alias("place"))
+    joined = [F.transform(F.sort_array(F.collect_list(F.when(F.col("what") == k, F.struct("place", "v")))), lambda x: x["v"]).alias(f"u_{column}") for k, column in enumerate(UNITED)]
+    united = firsts.groupBy(F.col("primary_id").alias("id")).agg(*joined)
+    first = F.col("id") == F.col("primary_id")
+    kept = rows.where(first).join(united, "id", "left")
+    none = F.expr("cast(array() as array<string>)")
+    head = kept.select("id", "component", "primary_id", F.lit("keep").alias("role"), "status", *[F.coalesce(f"u_{c}", none).alias(c) for c in UNITED])
+    others = rows.where(~first).select("id", "component", "primary_id", F.lit("merge").alias("role"), F.lit("deprecated").alias("status"), *[F.coalesce(c, none).alias(c) for c in UNITED])
+    return head.unionByName(others)

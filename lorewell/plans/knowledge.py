@@ -143,8 +143,7 @@ _SCOPED = f"""{_SETS.replace('FROM experiences)', "FROM experiences WHERE status
 
 def _scoped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     x = table(spark, d, "experiences").where("status = 'active' and scope in ('global', 'project')")
-    links = retrieval.similar_pairs(x).select("id_a", "id_b").unionByName(retrieval.linked_copies(x))
-    return x, clusters.clustered(x, links)
+    return x, clusters.clustered(x, retrieval.links(x))
 
 
 @query(f"WITH RECURSIVE {_SCOPED} SELECT id, component FROM k")
