@@ -73,3 +73,15 @@ def test_similar_pairs_write_no_pairs_that_only_meet(spark):
     heads = {r.class_id for r in retrieval.copies_of(df).collect()}
     x = [r for r in x if r[0] in heads]
     assert {(r.id_a, r.id_b): r.score for r in pairs.collect()} == pytest.approx({(r[0], s[0]): score(r, s) for r in x for s in x if r[0] < s[0] and r[1] == s[1] and score(r, s) >= 0.32})
+
+
+def test_best_matches_join_no_sets_to_pairs(spark):
+    x, y = rows(60, 5), rows(90, 6)
+    x += [(f"c{k}", *r[1:]) for k, r in enumerate(y[:20])]
+    best = retrieval.best_matches(spark.createDataFrame(x, SCHEMA), spark.createDataFrame(y, SCHEMA))
+    assert no_join(best)
+    want = {}
+    for r in x:
+        if over := [(-score(r, s), s[0]) for s in y if score(r, s) >= 0.4]:
+            want[r[0]] = (min(over)[1], pytest.approx(-min(over)[0]))
+    assert {r.id: (r.match_id, r.score) for r in best.collect()} == want and len(want) > 20
