@@ -97,3 +97,13 @@ def test_most_similar_joins_no_sets_to_pairs(spark):
         best = sorted((-score(r, s), s[0]) for s in x if s[0] != r[0] and score(r, s) >= 0.32)[:2]
         want |= {(r[0], n + 1, s) for n, (_, s) in enumerate(best) if r[0].endswith("5")}
     assert {(r.query_id, r["rank"], r.id) for r in top.collect()} == want and len(want) > 5
+
+
+def test_links_read_the_token_sets_once(spark):
+    x = rows(80, 4)
+    df = spark.createDataFrame(x + [(f"z{r[0]}", *r[1:]) for r in x[:9]], SCHEMA)
+    links = retrieval.links(df)
+    assert "regexp" not in links._jdf.queryExecution().optimizedPlan().toString().lower()
+    want = {(r.id_a, r.id_b) for r in retrieval.similar_pairs(df).collect()} | {(r.id_a, r.id_b) for r in retrieval.linked_copies(df).collect()}
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
