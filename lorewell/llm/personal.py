@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
-#: Known people up to whom the names are sent along with the tasks; beyond, they meet the words of the texts in a join.
+#: Decides nothing any more: any number of names meets the words of the texts in one join. Tests still set it.
 MAX_PEOPLE = 5_000
 
 # Letters of other scripts that look like Latin ones.
@@ -349,51 +349,71 @@ def hinted(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).rlike(HINT)
 
 
+def _folding() -> tuple[str, str]:
+    """Characters and their replacements, those without one last: what ``rewrite`` may turn into one another becomes the same lower-case letter."""
+    same: dict[str, str] = {}
+
+    def head(c: str) -> str:
+        while same.get(c, c) != c:
+            c = same[c]
+        return c
+
+    for a, b in [*LOOKALIKE.items(), ("ς", "σ")]:
+        x, y = head(a.lower()), head(b.lower())
+        same[max(x, y)] = min(x, y)
+    to = {c: head(c) for c in same} | {chr(o): head(chr(o - 0xFEE0).lower()) for o in range(0xFF01, 0xFF5F)} | dict.fromkeys(_SPACES, " ") | dict.fromkeys(_DASHES, "-")
+    return "".join([*to, *sorted(_INVISIBLE)]), "".join(to.values())
+
+
+_FROM, _TO = _folding()
+_LETTER = r"[\p{L}\p{Nl}\p{No}]"
+
+
+def folded(text: Column) -> Column:
+    """Lower case with look-alike characters made one; equal for a text and its rewritten form, but for spelled signs and digits."""
+    return F.translate(F.lower(text), _FROM, _TO)
+
+
 def tokens(column: str) -> Column:
-    return F.split(F.lower(column), r"[^\p{L}'’-]+")
+    """Every folded word of a text that a detector may look up: whole ones, their parts between apostrophes and hyphens, and two such parts in a row."""
+    text = folded(F.col(column))
+    inner = F.concat(F.split(text, r"[^\p{L}\p{Nl}\p{No}]+"), F.regexp_extract_all(text, F.lit(rf"(?<!{_LETTER})(?=({_LETTER}+['’-]{_LETTER}+)(?!{_LETTER}))"), F.lit(1)))
+    whole = F.split(text, r"[^\p{L}\p{Nl}\p{No}'’-]+")
+    return F.when(text.rlike("['’-]"), F.concat(whole, inner)).otherwise(whole)
 
 
 def masked(texts: DataFrame, people: DataFrame | None) -> DataFrame:
     """(source_field, record_key, part, masked, kinds): rows of ``texts`` that hold personal information.
 
     ``texts`` has source_field, record_key, part (the place inside the record) and text; ``people`` given_name and
-    family_name of known persons. Repeated rows give repeated rows; nulls and empty texts none. Up to
-    ``MAX_PEOPLE`` people their names go with the tasks and nothing is shuffled; beyond, the words of the texts
-    are joined with the names, and each text brings those it holds. Both ways give the same.
+    family_name of known persons, any number. Repeated rows give repeated rows; nulls and empty texts none. The
+    words of the texts are joined with the names in a form that is the same before and after rewriting, and each
+    text brings the names it holds to the detector.
     """
     out = "source_field string, record_key string, part int, masked string, kinds array<string>"
     columns = ["source_field", "record_key", "part", "masked", "kinds"]
-    few = people is None or people.limit(MAX_PEOPLE + 1).count() <= MAX_PEOPLE
-    if few:
-        rows = people.select("given_name", "family_name").collect() if people is not None else []
-        detect = Detector([r[0] for r in rows], [r[1] for r in rows])
-        names = sorted(detect.given | detect.family)
-        known = F.exists(tokens("text"), lambda w: w.isin(names)) if names else F.lit(False)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                found = [(f, k, p, *detect.mask(t)) for f, k, p, t in zip(b["source_field"], b["record_key"], b["part"], b["text"], strict=True)]
-                yield pd.DataFrame([r for r in found if r[4]], columns=columns)
-
-        return texts.where(hinted("text") | known).select("source_field", "record_key", "part", "text").mapInPandas(run, out)
-
-    parts = people.select(F.inline(F.array(*[F.struct(F.lower(c).alias("word"), F.lit(k).alias("what")) for c, k in (("given_name", "given"), ("family_name", "family"))]))).where("word <> ''").distinct()
-    # Endings of two letters: their number has a bound, whatever the number of names.
-    family = parts.where("what = 'family' and length(word) >= 5")
-    ends = [r[0] for r in family.select(F.right("word", F.lit(3)).alias("e")).distinct().collect()]
     base = Detector()
-    base.endings = {_plain(e)[-2:] for e in ends}
-    keyed = texts.where("text <> ''").select("source_field", "record_key", "part", "text", F.unhex(F.md5("text")).alias("h"))
-    held = keyed.select("h", F.explode(F.array_distinct(tokens("text"))).alias("word")).distinct().join(parts, "word")
-    held = held.groupBy("h").agg(F.collect_set(F.when(F.col("what") == "given", F.col("word"))).alias("given"), F.collect_set(F.when(F.col("what") == "family", F.col("word"))).alias("family"))
-    rows = keyed.join(held, "h", "left").where(hinted("text") | F.col("given").isNotNull())
-
-    def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    keyed = texts.where("text <> ''").select("source_field", "record_key", "part", "text")
+    if people is None:
+        none = F.lit(None).cast("array<string>")
+        rows = keyed.where(hinted("text")).select("*", none.alias("given"), none.alias("family"))
+    else:
+        parts = people.select(F.inline(F.array(*[F.struct(F.lower(c).alias("name"), F.lit(k).alias("what")) for c, k in (("given_name", "given"), ("family_name", "family"))]))).where("name <> ''").distinct()
+        # Endings of two letters: their number has a bound, whatever the number of names.
+        family = parts.where("what = 'family' and length(name) >= 5")
+        ends = [r[0] for r in family.select(F.right(F.regexp_replace("name", r"\p{M}", ""), F.lit(3)).alias("e")).distinct().collect()]
+        base.endings = {_plain(e)[-2:] for e in ends}
+        keyed = keyed.withColumn("h", F.unhex(F.md5("text")))
+        held = keyed.select("h", F.explode(F.array_distinct(tokens("text"))).alias("word")).where("word <> ''").join(parts.withColumn("word", folded(F.col("name"))), "word")
+        held = held.groupBy("h").agg(F.collect_set(F.when(F.col("what") == "given", F.col("name"))).alias("given"), F.collect_set(F.when(F.col("what") == "family", F.col("name"))).alias("family"))
+        rows = keyed.join(held, "h", "left").where(hinted("text") | F.col("given").isNotNull())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [(f, k, p, *base.knowing(g, n).mask(t)) for f, k, p, t, g, n in zip(b["source_field"], b["record_key"], b["part"], b["text"], b["given"], b["family"], strict=True)]
             yield pd.DataFrame([r for r in found if r[4]], columns=columns)
 
-    return rows.select("source_field", "record_key", "part", "text", "given", "family").mapInPandas(run_joined, out)
+    return rows.select("source_field", "record_key", "part", "text", "given", "family").mapInPandas(run, out)
 
 
 def project_texts(messages: DataFrame, experiences: DataFrame) -> DataFrame:
