@@ -1,10 +1,11 @@
 """Pairs of records whose weighted field overlaps may reach a threshold, out of tables too large to compare pairwise.
 
-Records are packed into blocks: a block holds its words once, as 64-bit names, and of each record the codes of its
-words. A task gets two blocks (or one with itself), joins them on indexed words, discards what bounds from bitmaps
-rule out, counts the common words of the rest field by field and returns only pairs that reach the threshold. So
-neither the pairs that meet nor their word sets are ever written; what is shuffled is each block once for every
-block of the other side.
+Records are packed into chunks, one or more of each partition: a chunk holds its words once, as 64-bit names, and of
+each record the codes of its words. Chunks are dealt to blocks, whose number follows the number of records and not
+the files or partitions they came in. A task gets two blocks (or one with itself), joins them on indexed words,
+discards what bounds from bitmaps rule out, counts the common words of the rest field by field and returns only pairs
+that reach the threshold. So neither the pairs that meet nor their word sets are ever written; what is shuffled is
+each chunk once for every block of the other side.
 
 The join is exact. All words have one global order, the frequent and light ones first. A record leaves out of the
 index the longest run of its first words that alone could not reach the threshold with any partner; the last
@@ -14,6 +15,7 @@ a valid order, so they are counted in ``CELLS`` cells. Names are checked to diff
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,14 +27,14 @@ from lorewell.store import cut
 
 #: Cells of the table of word frequencies. Its size is fixed, whatever the vocabulary.
 CELLS = 1 << 20
-#: Records of a block at most.
-BLOCK = 50_000
+#: Records of a chunk at most, and of a block about; blocks smaller than ``LEAST`` are made only to have ``TASKS`` pairs of blocks.
+CHUNK, BLOCK, LEAST, TASKS = 10_000, 50_000, 2_000, 24
 #: Meetings of one step, and of the records whose pairs are collected at a time (a record with more stands alone).
 STEP, ROUND = 1 << 18, 1 << 20
 #: Marks of words held at a time when common words are counted.
 MARKS = 1 << 23
 SLACK = 1e-6
-_PACKED = "block long, ids array<string>, groups array<string>, names binary, kinds binary, codes binary, sizes binary, first binary"
+_PACKED = "chunk long, records int, ids array<string>, groups array<string>, names binary, kinds binary, codes binary, sizes binary, first binary"
 _NAMES = [c.split()[0] for c in _PACKED.split(", ")]
 #: Fields, and 64-bit words of the bitmap of each.
 WIDTH, _PLANES = 4, (1, 1, 4, 4)
@@ -133,8 +135,8 @@ def packed(columns: list[np.ndarray], sizes: np.ndarray, table: np.ndarray, weig
     return names, kinds.astype(np.uint8), codes.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32), below.astype(np.uint32)
 
 
-def blocks(sets: DataFrame, weights: Weights, table: np.ndarray, threshold: float) -> DataFrame:
-    """Packed rows, of at most ``BLOCK`` records of one partition each."""
+def chunks(sets: DataFrame, weights: Weights, table: np.ndarray, threshold: float) -> DataFrame:
+    """Packed rows, of at most ``CHUNK`` records of one partition each."""
     fields = weights.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,20 +151,20 @@ def blocks(sets: DataFrame, weights: Weights, table: np.ndarray, threshold: floa
             column = {f: whole.column(f).combine_chunks() for f in fields}
             sizes = np.stack([np.diff(np.asarray(column[f].offsets)) for f in fields], axis=1).astype(np.int64)
             names, kinds_, codes, first = packed([_values(column[f]) for f in fields], sizes, table, weights, threshold)
-            block = (TaskContext.get().partitionId() << 32) + made
+            chunk = (TaskContext.get().partitionId() << 32) + made
             made += 1
-            values = [block, whole.column("id").to_pylist(), whole.column("grp").to_pylist(), names.tobytes(), kinds_.tobytes(), codes.tobytes(), sizes.astype(np.uint32).tobytes(), first.tobytes()]
-            kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), *[pa.binary()] * 5]
+            values = [chunk, whole.num_rows, whole.column("id").to_pylist(), whole.column("grp").to_pylist(), names.tobytes(), kinds_.tobytes(), codes.tobytes(), sizes.astype(np.uint32).tobytes(), first.tobytes()]
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=_NAMES)
 
         n = 0
         for b in batches:
             at = 0
             while at < b.num_rows:
-                held.append(b.slice(at, BLOCK - n))
+                held.append(b.slice(at, CHUNK - n))
                 n += held[-1].num_rows
                 at += held[-1].num_rows
-                if n == BLOCK:
+                if n == CHUNK:
                     yield row()
                     held, n = [], 0
         if n:
@@ -171,15 +173,44 @@ def blocks(sets: DataFrame, weights: Weights, table: np.ndarray, threshold: floa
     return sets.mapInArrow(run, _PACKED)
 
 
+def dealt(records: list[tuple[int, int]], blocks: int) -> dict[int, int]:
+    """The block of each of the (chunk, records): the largest first, each to the block that has the fewest records so far."""
+    held = [(0, b) for b in range(blocks)]
+    out = {}
+    for n, chunk in sorted(((n, c) for c, n in records), reverse=True):
+        so_far, b = heapq.heappop(held)
+        out[chunk] = b
+        heapq.heappush(held, (so_far + n, b))
+    return out
+
+
+def numbers(left: int, right: int | None) -> tuple[int, int]:
+    """Blocks of so many records of either side; the larger side gives the blocks that are made for the sake of tasks, as the smaller one is then shipped more often."""
+    a, b = max(1, -(-left // BLOCK)), max(1, -(-(right or 0) // BLOCK))
+    if right is None:
+        while a * (a + 1) // 2 < TASKS and a * LEAST < left:
+            a += 1
+    elif left > right:
+        a = max(a, min(-(-TASKS // b), left // LEAST))
+    else:
+        b = max(b, min(-(-TASKS // a), right // LEAST))
+    return a, b
+
+
 class Block:
-    def __init__(self, row: dict):
-        self.ids, self.groups = np.array(row["ids"], object), np.array(row["groups"], object)
-        self.names = np.frombuffer(row["names"], np.uint64)
-        self.sizes = np.frombuffer(row["sizes"], np.uint32).reshape(-1, WIDTH).astype(np.int64)
-        self.codes = np.frombuffer(row["codes"], np.uint16 if len(self.names) <= 1 << 16 else np.uint32).astype(np.int64)
-        self.fields = np.frombuffer(row["kinds"], np.uint8).astype(np.int64)[self.codes]
+    def __init__(self, *rows: dict):
+        joined = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
+        self.ids, self.groups = (np.array([v for r in rows for v in r[name]], object) for name in ("ids", "groups"))
+        own = [np.frombuffer(r["names"], np.uint64) for r in rows]
+        self.names, at = np.unique(np.concatenate(own), return_inverse=True)
+        kinds = np.zeros(len(self.names), np.int64)
+        kinds[at] = joined("kinds", np.uint8)
+        at = np.split(at, np.cumsum([len(n) for n in own])[:-1])
+        self.sizes = joined("sizes", np.uint32).reshape(-1, WIDTH).astype(np.int64)
+        self.codes = np.concatenate([a[np.frombuffer(r["codes"], np.uint16 if len(a) <= 1 << 16 else np.uint32)] for r, a in zip(rows, at, strict=True)])
+        self.fields = kinds[self.codes]
         self.bounds = _starts(self.sizes.sum(axis=1))
-        self.first = self.bounds[:-1] + np.frombuffer(row["first"], np.uint32)
+        self.first = self.bounds[:-1] + joined("first", np.uint32)
         rec = np.repeat(np.arange(len(self.ids)), np.diff(self.bounds))
         bit = self.names[self.codes] >> np.uint64(40)
         self.planes = []
@@ -288,24 +319,27 @@ def pairs(left: DataFrame, right: DataFrame | None, weights: Weights, threshold:
     """
     sides = named([left] if right is None else [left, right], weights.names, group)
     table = frequencies(sides, weights.names)
-    packs = [cut(blocks(s, weights, table, threshold), "overlap-blocks") for s in sides]
-    # One number for each block, that is for up to BLOCK records.
-    numbers = [sorted(r[0] for r in p.select("block").collect()) for p in packs]
-
-    def spread(p: DataFrame, k: int) -> DataFrame:
-        other, i = F.lit(numbers[-1 - k]) if numbers[-1 - k] else F.expr("cast(array() as array<bigint>)"), F.col("block")
+    packs = [cut(chunks(s, weights, table, threshold), "overlap-blocks") for s in sides]
+    # One row for each chunk, that is for up to CHUNK records of a partition.
+    records = [[tuple(r) for r in p.select("chunk", "records").collect()] for p in packs]
+    many = numbers(*(sum(n for _, n in r) for r in records), *[None] * (right is None))
+
+    def spread(k: int) -> DataFrame:
+        """Chunks of a side, once for each task; ``task`` numbers the pairs of blocks."""
+        block = dealt(records[k], many[k])
+        p = packs[k].withColumn("block", F.lit(list(block.values()))[F.array_position(F.lit(list(block)), F.col("chunk")).cast("int") - 1]) if block else packs[k].withColumn("block", F.lit(0))
+        i = F.col("block")
         if right is None:
-            tasks = F.transform(other, lambda o: F.struct(F.least(i, o).alias("one"), F.greatest(i, o).alias("two"), F.when(i <= o, 0).otherwise(1).alias("side")))
+            tasks = F.transform(F.lit(list(range(many[0]))), lambda o: F.struct((F.greatest(i, o) * (F.greatest(i, o) + 1) / 2 + F.least(i, o)).cast("int").alias("task"), F.when(i <= o, 0).otherwise(1).alias("side"), (i == o).alias("alone")))
         else:
-            tasks = F.transform(other, lambda o: F.struct(*((i, o) if k == 0 else (o, i)), F.lit(k)).cast("struct<one: bigint, two: bigint, side: int>"))
+            tasks = F.transform(F.lit(list(range(many[1 - k]))), lambda o: F.struct(((i * many[1] + o) if k == 0 else (o * many[1] + i)).cast("int").alias("task"), F.lit(k).alias("side"), F.lit(False).alias("alone")))
         return p.select(F.inline(tasks), *_NAMES)
 
-    rows = spread(packs[0], 0)
+    rows = spread(0)
     if right is not None:
-        rows = rows.unionByName(spread(packs[1], 1))
-    several = max(1, len(numbers[0]) * (len(numbers[0]) + 1) // 2 if right is None else len(numbers[0]) * len(numbers[1]))
-    # More partitions than tasks, so that few get several.
-    rows = rows.repartition(3 * several, "one", "two").sortWithinPartitions("one", "two", "side")
+        rows = rows.unionByName(spread(1))
+    several = many[0] * (many[0] + 1) // 2 if right is None else many[0] * many[1]
+    rows = rows.repartitionById(several, "task").sortWithinPartitions("task", "side")
     out = "grp string, id_a string, id_b string, common array<int>, sizes_a array<int>, sizes_b array<int>"
     alone = right is None
 
@@ -320,15 +354,24 @@ def pairs(left: DataFrame, right: DataFrame | None, weights: Weights, threshold:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (a.groups[x], p, q)] + numbers_, names=[c.split()[0] for c in out.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, first = None, None
+        """The chunks of a task's first block come before those of its second."""
+        at, only = None, False
+        held: tuple[list, list] = [], []
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            sides = [Block(*h) if h else None for h in held]
+            for h in held:
+                h.clear()
+            if sides[0] and (only or sides[1]):
+                yield from met(*sides)
+
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
-                if row["side"] == 0:
-                    at, first = (row["one"], row["two"]), Block(row)
-                    if alone and row["one"] == row["two"]:
-                        yield from met(first, None)
-                elif at == (row["one"], row["two"]):
-                    yield from met(first, Block(row))
+                if row["task"] != at:
+                    yield from whole()
+                at, only = row["task"], row["alone"]
+                held[row["side"]].append(row)
+        yield from whole()
 
     return rows.mapInArrow(run, out)

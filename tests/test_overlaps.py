@@ -99,6 +99,45 @@ def test_most_similar_joins_no_sets_to_pairs(spark):
     assert {(r.query_id, r["rank"], r.id) for r in top.collect()} == want and len(want) > 5
 
 
+def test_what_is_shipped_follows_the_records_and_not_the_partitions(spark, monkeypatch):
+    """A record is shipped once for each block of the other side; 40 partitions of a few records are not 40 blocks."""
+    x, y = rows(60, 8), rows(120, 9)
+    y += [(f"c{k}", *r[1:]) for k, r in enumerate(x[:20])]
+    made = lambda data: retrieval.token_sets(spark.createDataFrame(data, SCHEMA).repartition(40))
+    shipped = lambda df: sum(len(r.ids) for r in df.collect())
+    kind = type(spark.range(1))
+    sent, run = [], kind.mapInArrow
+
+    def watched(df, f, schema):
+        if "ids" in df.columns and "side" in df.columns:
+            sent.append(shipped(df))
+        return run(df, f, schema)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    for least, blocks_ in ((None, (1, 1)), (20, (1, 7))):
+        if least:
+            monkeypatch.setattr(overlaps, "LEAST", least)
+        met = overlaps.pairs(made(x), made(y), retrieval._FIELDS, 0.32)
+        got = [(r.id_a, r.id_b) for r in met.collect()]
+        want = {(r[0], s[0]) for r in x for s in y if score(r, s) >= 0.32}
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+        assert sent.pop() == len(x) * blocks_[1] + len(y) * blocks_[0]
+    alone = overlaps.pairs(made(y), None, retrieval._FIELDS, 0.32)
+    got = [(r.id_a, r.id_b) for r in alone.collect()]
+    want = {(r[0], s[0]) for r in y for s in y if r[0] < s[0] and score(r, s) >= 0.32}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 5
+    assert sent.pop() == len(y) * overlaps.numbers(len(y), None)[0] and overlaps.numbers(len(y), None)[0] > 2
+
+
+def test_dealt_blocks_are_even():
+    held = [0] * 3
+    records = [(c, n) for c, n in enumerate([10, 1, 1, 1, 9, 8, 4, 3, 3, 3, 2])]
+    for chunk, b in overlaps.dealt(records, 3).items():
+        held[b] += dict(records)[chunk]
+    assert sum(held) == 45 and max(held) - min(held) <= 2
+    assert overlaps.numbers(4_000, 320_000) == (1, 24) and overlaps.numbers(0, 0) == (1, 1) and overlaps.numbers(320_000, None) == (7, 1)
+
+
 def test_links_read_the_token_sets_once(spark):
     x = rows(80, 4)
     df = spark.createDataFrame(x + [(f"z{r[0]}", *r[1:]) for r in x[:9]], SCHEMA)
