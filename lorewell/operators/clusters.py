@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.store import cut
+from lorewell.store import cut, drop_table
 
 
 
@@ -21,7 +21,8 @@ def components(links: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     Alternating large-star and small-star rounds: each node's larger neighbours are linked to the smallest one
     around it, then the smaller ones are, until nothing changes. The number of rounds grows with the logarithm
     of the size of a component, not with its diameter, and no node's neighbourhood is gathered in one row:
-    only its minimum is aggregated. Every round's links are written to the shared folder.
+    only its minimum is aggregated. Every round's links are written to the shared folder, and those of the round
+    before, which nothing reads any more, are removed.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct(), "links")
     before = _checksum(edges)
@@ -34,9 +35,11 @@ def components(links: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         new = cut(small, "links")
         now = _checksum(new)
+        drop_table(edges)
+        edges = new
         if now == before:
             break
-        edges, before = new, now
+        before = now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
