@@ -93,8 +93,8 @@ def frequencies(tables: list[DataFrame], fields: list[str]) -> np.ndarray:
 
     out = np.zeros(CELLS, np.float64)
     for t in tables:
-        got = t.select(*fields).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-        out[got["cell"].to_numpy(np.int64)] += got["n"].to_numpy(np.float64)
+        got = t.select(*fields).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        out[got["cell"].to_numpy()] += got["n"].to_numpy()
     return out
 
 

@@ -1,6 +1,7 @@
 """Pairs by field overlaps against all pairs, and what they write."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -138,6 +139,19 @@ def test_dealt_blocks_are_even():
     assert overlaps.numbers(4_000, 320_000) == (1, 24) and overlaps.numbers(0, 0) == (1, 1) and overlaps.numbers(320_000, None) == (7, 1)
 
 
+def test_frequencies_reach_the_driver_without_an_object_for_each_cell(spark):
+    t = spark.range(200_000).selectExpr("array(id, id + 1) as a")
+    overlaps.frequencies([t.limit(1)], ["a"])
+    tracemalloc.start()
+    try:
+        n = overlaps.frequencies([t], ["a"])
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n[0] == 1 and (n[1:200_000] == 2).all() and n[200_000] == 1 and n.sum() == 400_000
+    assert most < 2 * n.nbytes
+
+
 def test_links_read_the_token_sets_once(spark):
     x = rows(80, 4)
     df = spark.createDataFrame(x + [(f"z{r[0]}", *r[1:]) for r in x[:9]], SCHEMA)
